@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["jaccard_join"]
+MODULES = ["mixing", "line_dedup", "quality", "decontaminate", "jaccard_join"]
 
 QUERIES, SQL = {}, {}
 for _name in MODULES:
