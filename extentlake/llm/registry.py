@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["token_store", "warc", "mixing", "line_dedup", "quality", "decontaminate", "jaccard_join"]
+MODULES = ["language", "pii", "token_store", "mixing", "line_dedup", "licences", "warc", "quality", "decontaminate", "jaccard_join"]
 
 QUERIES, SQL = {}, {}
 for _name in MODULES:
