@@ -1,0 +1 @@
+"""Analytics over binary object-storage archives on Spark."""
