@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 
@@ -30,7 +31,7 @@ def le_signed(data: Column, offset: Column | int, size: int) -> Column:
     return F.when(value >= half, value - (half << 1)).otherwise(value)
 
 
-@pandas_udf("struct<value:double,text:string,raw_hex:string>")
+@pandas_udf(T.StructType([T.StructField("value", T.DoubleType()), T.StructField("text", T.StringType()), T.StructField("raw_hex", T.StringType())]))
 def float_evidence(data: pd.Series) -> pd.DataFrame:
     """4 or 8 little-endian bytes as a double, its shortest decimal that gives the same bytes (or inf, nan), and the bytes.
 
@@ -153,21 +154,21 @@ def row_frame(values: list[Any]) -> bytes:
 
 
 def json_depth(text: str, most: int = 64) -> int:
-    """Nesting of a JSON text; refuses what is deeper, not JSON, or not finite."""
+    """Objects and arrays within one another in a JSON text, level by level; refuses what is deeper, not JSON, or not finite."""
 
     def refuse(name: str) -> None:
         raise ValueError(f"{name} is no JSON number")
 
-    def depth(x: Any, level: int) -> int:
-        if level > most:
+    level, deep = [json.loads(text, parse_constant=refuse)], 0
+    while level := [x for x in level if isinstance(x, (dict, list))]:
+        deep += 1
+        if deep > most:
             raise ValueError("RESOURCE_LIMIT: the document is nested too deep")
-        inner = x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
-        return max([level, *(depth(y, level + 1) for y in inner)])
+        level = [y for x in level for y in (x.values() if isinstance(x, dict) else x)]
+    return deep
 
-    return depth(json.loads(text, parse_constant=refuse), 0)
 
-
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     """The canonical form of JSON texts; NULL for what is no JSON."""
 
@@ -186,7 +187,7 @@ def packed_blob(raw: bytes, level: int = 6) -> tuple[str, bytes, str]:
     return ("zlib", small, hashlib.sha256(raw).hexdigest()) if len(small) < len(raw) else ("raw", raw, hashlib.sha256(raw).hexdigest())
 
 
-@pandas_udf("struct<data:binary,status:string>")
+@pandas_udf(T.StructType([T.StructField("data", T.BinaryType()), T.StructField("status", T.StringType())]))
 def unpacked_blob(codec: pd.Series, data: pd.Series, raw_length: pd.Series, sha256: pd.Series) -> pd.DataFrame:
     """The bytes of blobs, inflated to at most their stated length and checked against length and digest."""
     rows = []

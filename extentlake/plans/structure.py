@@ -30,7 +30,7 @@ def q38_list_membership(a: Archive) -> DataFrame:
 
 
 @query("""SELECT o_custkey AS coll_id, count(*) + (CASE WHEN o_custkey % 7 = 0 THEN 1 ELSE 0 END) AS n_entries, count(*) AS members,
-  CASE WHEN o_custkey % 7 = 0 THEN 'CARDINALITY_MISMATCH' WHEN count(*) <> count(DISTINCT o_orderdate) THEN 'DUPLICATE_SET_REFERENCE' ELSE 'VERIFIED_CARDINALITY' END AS status FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1""")
+  CASE WHEN count(*) <> count(DISTINCT o_orderdate) THEN 'DUPLICATE_SET_REFERENCE' WHEN o_custkey % 7 = 0 THEN 'CARDINALITY_MISMATCH' ELSE 'VERIFIED_CARDINALITY' END AS status FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1""")
 def q39_set_membership(a: Archive) -> DataFrame:
     """Orders of a customer as the slots of a set, with the day as target; a sentinel is added, and some counters are wrong."""
     o = a.table("orders").where("o_custkey IS NOT NULL").selectExpr("o_custkey AS coll_id", "o_orderkey AS slot_index", "-unix_micros(CAST(o_orderdate AS TIMESTAMP)) - 1 AS target_id")
