@@ -416,4 +416,19 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_ngram_jaccard_join": op10_ngram_jaccard_join}
-SQL: dict[str, str] = {}
+SQL = {
+    "op10_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+g AS (
+  SELECT DISTINCT row, hash(array_to_string(w[k:k + 3], ' ')) AS g
+  FROM (SELECT row, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT row, count(*) AS n FROM g GROUP BY row),
+p AS (SELECT a.row AS x, b.row AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.row <> b.row GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.row = x JOIN n ny ON ny.row = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+r(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, min(o.doc_id)) AS BIGINT) AS component_id
+FROM d LEFT JOIN n USING (row) LEFT JOIN r ON r.x = d.row LEFT JOIN d o ON o.row = r.y GROUP BY d.row, d.doc_id, n.n"""
+}
