@@ -6,10 +6,10 @@ and a document comes out once for every whole number that the sum passes.  So ev
 sizes gives its part, and the words taken come near the target.
 
 The running sum is taken in two steps, within blocks of (source, size class, slice of ids) and over the blocks' counts,
-so that no task holds a source.  Built-in functions only; the offset is a digest of the source and the seed, so reruns agree.
+so that no task holds a source; a size class of a source has one slice for each BLOCK documents.  Built-in functions only; the offset is a digest of the source and the seed, so reruns agree.
 
 Nulls: a null source is a source, the last; a null text has size 0.  Null ids come first within their block.  Repeated
-rows each count.  Extra columns are kept by mixed().  An empty table, or one without a word, takes nothing.
+rows each count.  Extra columns are kept in the struct row.  An empty table, or one without a word, takes nothing.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .columns import n_words
-from .shared import table
+from .shared import table, written
 
 #: Documents of a source and size class in one block, about.
-BLOCK = 1 << 16
+BLOCK = 1 << 10
 WEIGHTS = (5, 2, 1)
 
 
@@ -44,31 +44,37 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
     return s.select("source", "n_docs", "source_size", F.least("limit", F.coalesce(F.col("weight") * F.col("settled"), F.col("limit"))).alias("target"))
 
 
-def mixed(docs: DataFrame, text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
-    """The documents with struct `mix`: size, source_size, target and copies."""
-    n = docs.count()
-    slices = max(1, -(-n // BLOCK))
-    size_class = F.floor(8 * F.log2(F.col("mix.size") + 1)).cast("int")
-    rows = docs.withColumn("mix", F.struct(n_words(F.col(text)).alias("size"), F.col(source).alias("source")))
-    rows = rows.withColumn("mix", F.col("mix").withField("class", size_class).withField("slice", F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(slices)), F.lit(0)).cast("int")))
-    blocks = rows.groupBy(F.col("mix.source").alias("source"), F.col("mix.class").alias("class"), F.col("mix.slice").alias("slice")).agg(F.count("*").alias("n"), F.sum("mix.size").alias("words"))
-    aims = targets(blocks.groupBy("source").agg(F.sum("n").alias("n_docs"), F.sum("words").alias("source_size")))
-    order = Window.partitionBy("source").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    met = blocks.alias("b").join(aims.alias("a"), F.expr("b.source <=> a.source")).selectExpr("b.source AS of_source", "b.class AS of_class", "b.slice AS of_slice", "before", "source_size", "target")
+def sized(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
+    """(row, doc_id, mix): the documents as a struct, and what the mix needs: size, source and size class."""
+    mix = F.struct(n_words(F.col(text)).alias("size"), F.col(source).cast("string").alias("source"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), mix.alias("mix"))
+    return rows.withColumn("mix", F.col("mix").withField("class", F.floor(8 * F.log2(F.col("mix.size") + 1)).cast("int")))
+
+
+def mixed(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """Sized documents with struct `mix`: size, source_size, target and copies.  Of their columns row may lack."""
+    others = [c for c in rows.columns if c != "mix"]
+    groups = written(rows.groupBy(F.col("mix.source").alias("g_source"), F.col("mix.class").alias("g_class")).agg(F.count("*").alias("n"), F.sum("mix.size").alias("words")))
+    aims = targets(groups.groupBy(F.col("g_source").alias("source")).agg(F.sum("n").alias("n_docs"), F.sum("words").alias("source_size")))
+    cut = groups.join(aims, F.col("g_source").eqNullSafe(F.col("source"))).select("g_source", "g_class", F.ceil(F.col("n") / BLOCK).cast("int").alias("slices"), "source_size", "target")
+    rows = rows.join(cut, F.expr("mix.source <=> g_source AND mix.class = g_class"))
+    rows = rows.withColumn("mix", F.col("mix").withField("slice", F.coalesce(F.pmod("doc_id", F.col("slices")), F.lit(0)).cast("int")))
+    blocks = rows.groupBy(F.col("mix.source").alias("b_source"), F.col("mix.class").alias("b_class"), F.col("mix.slice").alias("b_slice")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("b_source").orderBy("b_class", "b_slice").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = written(blocks.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n"))
     place = Window.partitionBy("mix.source", "mix.class", "mix.slice").orderBy("doc_id", "mix.size")
     rows = rows.withColumn("mix", F.col("mix").withField("place", F.row_number().over(place)))
-    rows = rows.join(met, F.expr("mix.source <=> of_source AND mix.class = of_class AND mix.slice = of_slice"))
+    rows = rows.join(blocks, F.expr("mix.source <=> b_source AND mix.class = b_class AND mix.slice = b_slice"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("mix.source", F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     ranked = (F.col("before") + F.col("mix.place")).cast("double")
     copies = (F.floor(ranked * rate + offset) - F.floor((ranked - 1) * rate + offset)).cast("long")
     mix = F.struct(F.col("mix.size").alias("size"), "source_size", "target", F.least(copies, F.lit(2)).alias("copies"))
-    return rows.select(*docs.columns, mix.alias("mix"))
+    return rows.select(*others, mix.alias("mix"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = written(sized(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "mix"))
     return mixed(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
 
 
@@ -76,10 +82,8 @@ QUERIES = {"op4_mixing": op4_mixing}
 SQL = {
     "op4_mixing": r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
-c AS (
-  SELECT *, CAST(floor(8 * log2(size + 1)) AS INT) AS class,
-    CAST(coalesce(abs(doc_id) % (SELECT greatest(1, (count(*) + 65535) // 65536) FROM documents), 0) AS INT) AS slice
-  FROM d),
+e AS (SELECT *, CAST(floor(8 * log2(size + 1)) AS INT) AS class FROM d),
+c AS (SELECT *, coalesce(abs(doc_id) % ((count(*) OVER (PARTITION BY source, class) + 1023) // 1024), 0) AS slice FROM e),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (
   SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
