@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .columns import WHITE, let, lower_ascii
-from .shared import table
+from .shared import table, written
 
 
 def keyed(docs: DataFrame, text: str, least_chars: int) -> DataFrame:
@@ -35,7 +35,8 @@ def dropped(docs: DataFrame, text: str = "text", least_chars: int = 20, least_do
     """(doc_id, text_hash, places): numbers, from 0, of the lines that each text loses."""
     lines = keyed(docs, text, least_chars)
     counts = lines.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= least_docs)
-    gone = lines.join(counts.select("key", "keeper"), "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    counts = written(counts.select("key", "keeper"))  # apart from the join, so that adaptive execution can split a common key there
+    gone = lines.join(counts, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
 
 
