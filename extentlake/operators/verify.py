@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import CODECS, KEYS, NODE_TYPES, POINTER_STATUS
@@ -17,6 +17,12 @@ def _fault(rows: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return rows.select(F.lit(name).alias("check_name"), F.concat_ws(":", *(F.col(k).cast("string") for k in keys)).alias("key"))
 
 
+def _row_faults(rows: DataFrame, keys: list[str], wrong: dict[str, Column]) -> DataFrame:
+    """The faults that a row shows by itself, all in one pass: by name, when each is there; unknown counts as there."""
+    names = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in wrong.items())))
+    return rows.select(F.explode(names).alias("check_name"), F.concat_ws(":", *(F.col(k).cast("string") for k in keys)).alias("key"))
+
+
 def violations(t: dict[str, DataFrame]) -> DataFrame:
     """All faults of a set of tables (see model.TABLES)."""
     out = []
@@ -25,23 +31,23 @@ def violations(t: dict[str, DataFrame]) -> DataFrame:
             out.append(_fault(t[name].groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1"), f"{name}.unique", keys))
     clusters = t["clusters"].select(*SPACE, "allocated_bytes")
     for name, start, size, key in (("allocations", "logical_offset", "size", ["id"]), ("extents", "logical_start", "length", ["id"]), ("chunks", "logical_start", "length", [*SPACE, "logical_start"])):
-        rows = t[name]
-        out.append(_fault(rows.where((F.col(size) <= 0) | (F.col(start) < 0)), f"{name}.positive", key))
-        out.append(_fault(with_previous_end(rows, start, size).where(F.col(start) < F.col("previous_end")), f"{name}.disjoint", key))
-        bound = rows.join(clusters, SPACE, "left")
-        out.append(_fault(bound.where(F.col("allocated_bytes").isNull() | (F.col(start) + F.col(size) > F.col("allocated_bytes"))), f"{name}.within_cluster", key))
-    gap = with_previous_end(t["chunks"], "logical_start", "length").where(F.col("logical_start") != F.coalesce("previous_end", F.lit(0)))
-    out.append(_fault(gap, "chunks.gapless", [*SPACE, "logical_start"]))
+        # one pass and one window: against the interval before, and against the cluster
+        swept = with_previous_end(t[name], start, size).join(clusters, SPACE, "left")
+        wrong = {
+            f"{name}.positive": (F.col(size) <= 0) | (F.col(start) < 0),
+            f"{name}.disjoint": F.coalesce(F.col(start) < F.col("previous_end"), F.lit(False)),
+            f"{name}.within_cluster": F.col(start) + F.col(size) > F.col("allocated_bytes"),
+        }
+        if name == "chunks":
+            wrong["chunks.gapless"] = F.col(start) != F.coalesce("previous_end", F.lit(0))
+        out.append(_row_faults(swept, key, wrong))
     p = t["pointers"]
     aimed = F.col("target_segment").isNotNull() & F.col("target_cluster").isNotNull() & F.col("target_offset").isNotNull()
     none = F.col("target_segment").isNull() & F.col("target_cluster").isNull() & F.col("target_offset").isNull()
-    pk = KEYS["pointers"]
-    out.append(_fault(p.where(~F.coalesce(F.when(F.col("status") == "RESOLVED", aimed).otherwise(none), F.lit(False))), "pointers.target", pk))
-    out.append(_fault(p.where(~F.coalesce(F.col("status").isin(*POINTER_STATUS), F.lit(False))), "pointers.status", pk))
-    out.append(_fault(p.where(~F.coalesce(F.col("width").isin(4, 8) & (F.octet_length("raw") == F.col("width")), F.lit(False))), "pointers.raw", pk))
+    ok = {"pointers.target": F.when(F.col("status") == "RESOLVED", aimed).otherwise(none), "pointers.status": F.col("status").isin(*POINTER_STATUS), "pointers.raw": F.col("width").isin(4, 8) & (F.octet_length("raw") == F.col("width"))}
+    out.append(_row_faults(p, KEYS["pointers"], {n: ~c for n, c in ok.items()}))
     blobs = t["blobs"]
-    out.append(_fault(blobs.where(~F.coalesce(F.col("codec").isin(*CODECS) & (F.col("raw_length") >= 0), F.lit(False))), "blobs.codec", ["sha256"]))
-    out.append(_fault(blobs.where((F.col("codec") == "raw") & (F.sha2("data", 256) != F.col("sha256"))), "blobs.digest", ["sha256"]))
+    out.append(_row_faults(blobs, ["sha256"], {"blobs.codec": ~(F.col("codec").isin(*CODECS) & (F.col("raw_length") >= 0)), "blobs.digest": F.coalesce((F.col("codec") == "raw") & (F.sha2("data", 256) != F.col("sha256")), F.lit(False))}))
     known = blobs.select(F.col("sha256").alias("blob_sha256"))
     out.append(_fault(t["chunks"].join(known, "blob_sha256", "left_anti"), "chunks.blob", [*SPACE, "logical_start"]))
     out.append(_fault(t["documents"].join(known, "blob_sha256", "left_anti"), "documents.blob", KEYS["documents"]))
