@@ -52,3 +52,15 @@ def catalog(entities: DataFrame, shapes: DataFrame, ancestors: DataFrame, groups
     e = entities.join(s, "shape_id", "left").join(groups.select(F.col("node").alias("group_id"), "path", F.col("status").alias("path_status")), "group_id", "left")
     state = F.when(F.col("shape_id").isNull(), "NO_SHAPE").when(F.col("render_class").isNull(), "SHAPE_NOT_FOUND").when(F.col("group_id").isNotNull() & F.col("path").isNull(), "GROUP_NOT_FOUND").otherwise("CATALOGUED")
     return e.select("id", "name", "render_class", "path", "path_status", state.alias("diagnostic"))
+
+
+def deduplicated_pages(rows: DataFrame, place: list[str], page: str, signature: list[str]) -> DataFrame:
+    """One row for each place that pages record: the first page, how often it was seen, and whether all agree on its signature."""
+    g = rows.groupBy(*place).agg(F.min(page).alias("page"), F.count("*").alias("seen"), F.count_distinct(F.struct(*signature)).alias("kinds"))
+    return g.withColumn("status", F.when(F.col("kinds") > 1, "SIGNATURE_CONFLICT").otherwise("CURRENT")).drop("kinds")
+
+
+def unambiguous(rows: DataFrame, name: str) -> DataFrame:
+    """Rows whose name no other row has: a dictionary leaves out what it can't tell apart."""
+    single = rows.groupBy(name).agg(F.count("*").alias("_n")).where("_n = 1").select(name)
+    return rows.join(single, name, "left_semi")
