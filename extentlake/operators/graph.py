@@ -7,9 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rounds after which a table of the shared folder cuts the lineage.
-CUT = 4
-
 
 def neighbours(edge: DataFrame, node: int, direction: str = "out", after: tuple[int, int, int] | None = None, limit: int = 100) -> DataFrame:
     """A page of the links of an allocation in address order, strictly after a cursor (segment, cluster, offset)."""
@@ -30,8 +27,10 @@ def reachable(links: DataFrame, seeds: DataFrame, depth: int, cut: Callable[[Dat
     for d in range(1, depth + 1):
         new = frontier.join(steps, frontier["node"] == steps["source"]).select(F.col("target").alias("node")).distinct()
         frontier = new.join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
-        if cut and d % CUT == 0:
+        if cut:  # without it a plan doubles each round: for a few rounds only
             frontier = cut(frontier)
+            if frontier.isEmpty():
+                break
         seen = seen.unionByName(frontier)
     return seen
 

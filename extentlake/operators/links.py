@@ -47,7 +47,9 @@ def storage_class(targets: DataFrame) -> DataFrame:
 
 def payload(links: DataFrame, seeds: DataFrame, depth: int = 16) -> DataFrame:
     """(node, depth) that seeds reach over links (source, target, storage), not beyond what ends a walk."""
+    from ..sources.store import written
+
     ends = links.where(F.col("storage").isin("OTHER_ENTITY", "COLLECTION_MEMBERSHIP_REQUIRES_ADAPTER")).select(F.col("target").alias("end")).distinct()
     through = links.join(ends, links["source"] == ends["end"], "left_anti")
     first = links.join(seeds.select(F.col("node").alias("source")), "source", "left_semi")
-    return reachable(through.select("source", "target").union(first.select("source", "target")), seeds, depth)
+    return reachable(through.select("source", "target").union(first.select("source", "target")), seeds, depth, written)
