@@ -9,8 +9,10 @@ of its candidates elsewhere.  There the inverted lists are searched for those th
 occurrences: short lists by a heap of their heads, the longest ones (DivideSkip) by binary search.
 A home of more than BLOCK documents is split into blocks, each searched by the later ones.
 
-Links come out as a forest: a search skips pairs that are connected already.  They are then
-joined to components by repeated joins.  Nothing is capped: a hot shingle or a large home only changes the way.
+A class visits only homes with smaller ids than its own, and blocks before its own, so each pair of classes meets once.
+Every link is found and counted for both its ends (n_links).  Only a forest of them comes out as rows, one link to each
+component of a block that a class reaches, as a family's links grow with its square; components need no more and are
+made of it by repeated joins.  Nothing is capped: a hot shingle or a large home only changes the way.
 
 Nulls: a null or empty text has an empty set and no link.  A null id counts as no id: it never is the smallest.
 Repeated rows: each gives a row.  Extra columns are not read.  An empty table gives no rows.
@@ -39,8 +41,10 @@ BLOCK = 1024
 GATHER = 4 << 20
 #: DivideSkip's share of long lists: T / (MU * log2(longest list) + 1) lists are long.
 MU = 0.0085
-#: Postings above which the merge of the heads goes by runs in numpy.
+#: Postings above which the lists are counted in numpy instead of merged.
 HEAP_POSTINGS = 2048
+#: Sets found in short lists above which the long lists are counted whole.
+MANY = 16
 
 
 def needed(n: int, percent: int) -> int:
@@ -218,6 +222,9 @@ class Index:
         n_long = min(least - 1, int(least / (MU * np.log2(longest) + 1))) if longest > 1 else 0
         short, long_ = at[: len(at) - n_long], at[len(at) - n_long :]
         found, count = self._merge(short, least - n_long)
+        if len(found) > MANY and len(long_):  # counting all owners costs less than so many binary searches
+            held = np.concatenate([self.owner[self.cut[i] : self.cut[i + 1]] for i in long_])
+            count, long_ = count + np.bincount(held, minlength=len(self.sizes))[found], long_[:0]
         for i in long_:
             if not len(found):
                 break
@@ -231,10 +238,9 @@ class Index:
         """What occurs in at least so many of the lists, with the number of lists."""
         postings = [self.owner[self.cut[i] : self.cut[i + 1]] for i in lists]
         if sum(map(len, postings)) > HEAP_POSTINGS:
-            merged = np.sort(np.concatenate(postings), kind="stable")  # merges the runs
-            first = np.flatnonzero(np.diff(merged, prepend=-1))
-            count = np.diff(np.append(first, len(merged)))
-            return merged[first][count >= least], count[count >= least]
+            count = np.bincount(np.concatenate(postings), minlength=len(self.sizes))
+            found = np.flatnonzero(count >= least)
+            return found, count[found]
         found, count, last, times = [], [], -1, 0
         for x in heapq.merge(*[p.tolist() for p in postings]):
             if x == last:
@@ -251,89 +257,74 @@ class Index:
 
 
 class Block:
-    """Indexed documents of a home: links among them when made, then links of queries to them."""
+    """Indexed documents of a home: links among them when made, then links of queries to them; degree counts every link."""
 
     def __init__(self, cids: list[int], sets: list[np.ndarray], percent: int):
-        self.cids, self.percent, self.links = np.array(cids, np.int64), percent, []
-        left, root = np.arange(len(cids)), np.full(len(cids), -1)
-        index, within = Index(sets, percent) if len(cids) > 1 else None, left
+        self.cids, self.index, self.links = np.array(cids, np.int64), Index(sets, percent), []
+        self.root, self.degree = np.full(len(cids), -1), np.zeros(len(cids), np.int64)
         for seed in range(len(cids)):
-            if root[seed] >= 0:
+            if self.root[seed] >= 0:
                 continue
-            root[seed], open_ = seed, [seed]
-            while open_ and index is not None:
+            self.root[seed], open_ = seed, [seed]
+            while open_:
                 x = open_.pop()
-                near = within[index.search(sets[x])]
-                near = near[root[near] < 0]
-                root[near] = seed
-                self.links += [(cids[i], cids[seed]) for i in near]
+                near = self.index.search(sets[x]) if len(cids) > 1 else np.array([x])
+                self.degree[x] = len(near) - 1  # it finds itself
+                near = near[self.root[near] < 0]
+                self.root[near] = seed
+                self.links += [(cids[i], cids[seed], 0) for i in near]
                 open_ += near.tolist()
-                left = np.flatnonzero(root < 0)
-                if 2 * len(left) < len(within):  # what is placed needs no search again
-                    index, within = (Index([sets[i] for i in left], percent), left) if len(left) else (None, left)
-        self.root, self.sets = root, sets
-        self.index = None
-
-    def ask(self, cid: int, query: np.ndarray) -> list[tuple[int, int]]:
-        """A link to each component of the block to which the query has one."""
-        if self.index is None:
-            roots, size = np.unique(self.root, return_counts=True)
-            big = roots[size.argmax()]
-            self.leader = int(big) if size.max() >= 16 else None
-            self.index, self.all = Index(self.sets, self.percent), np.arange(len(self.sets))
-            rest = np.flatnonzero(self.root != big)
-            self.rest, self.rest_at = (Index([self.sets[i] for i in rest], self.percent) if len(rest) else None), rest
-        out, index, within = [], self.index, self.all
-        if self.leader is not None:
-            lead = self.sets[self.leader]
-            common = len(np.intersect1d(lead, query, assume_unique=True))
-            if (100 + self.percent) * common >= self.percent * (len(lead) + len(query)):
-                out.append((cid, int(self.cids[self.leader])))
-                index, within = self.rest, self.rest_at
-        if index is not None:
-            roots = np.unique(self.root[within[index.search(query)]])
-            out += [(cid, int(self.cids[r])) for r in roots]
-        return [x for x in out if x[0] != x[1]]
+
+    def ask(self, cid: int, query: np.ndarray) -> list[tuple[int, int, int]]:
+        """A link to each component of the block to which the query has one, and the number of all its links."""
+        near = self.index.search(query)
+        self.degree[near] += 1
+        out = [(cid, int(self.cids[r]), 0) for r in np.unique(self.root[near])]
+        return out + [(cid, cid, len(near))] if out else out
+
+    def degrees(self) -> list[tuple[int, int, int]]:
+        return [(int(self.cids[i]), int(self.cids[i]), int(self.degree[i])) for i in np.flatnonzero(self.degree)]
 
 
 def _search(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by home, block and role (0: to index, 1: query); queries are taken one by one."""
-    key, cids, sets, block, links = None, {}, [], None, []
+    """Links (a, b, 0) of the forest, and (a, a, n): n links of a.
+
+    Rows come sorted by home, block, role (0: to index, 1: query) and class; queries are taken one by one, each class once.
+    """
+    key, cids, sets, block, asked, links = None, {}, [], None, None, []
 
-    def ready() -> Block | None:
-        return Block(list(cids), sets, percent) if sets else None
+    def closed() -> list[tuple[int, int, int]]:
+        made = block or (Block(list(cids), sets, percent) if sets else None)
+        return made.links + made.degrees() if made else []
 
     for batch in batches:
         columns = [batch.column(i).to_pylist() for i in range(4)]
         for home, number, role, cid, shingles in zip(*columns, batch.column(4), strict=True):
             if (home, number) != key:
-                if block is None and (made := ready()):
-                    links += made.links
-                key, cids, sets, block = (home, number), {}, [], None
+                links += closed()
+                key, cids, sets, block, asked = (home, number), {}, [], None, None
             values = np.frombuffer(shingles.as_buffer(), np.uint64)
             if role == 0:
                 if cid not in cids:
                     cids[cid] = True
                     sets.append(values.copy())
-            elif sets:
-                if block is None:
-                    block = ready()
-                    links += block.links
+            elif sets and cid != asked:
+                block, asked = block or Block(list(cids), sets, percent), cid
                 links += block.ask(cid, values)
         if len(links) > 50_000:
             yield _linked(links)
             links = []
-    if block is None and (made := ready()):
-        links += made.links
+    links += closed()
     yield _linked(links)
 
 
-def _linked(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+def _linked(links: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(3)], ["a", "b", "n"])
 
 
-def links(docs: DataFrame, text: str = "text", k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
-    """Forest of links (a, b) between classes, and what class every row has: (doc_id, n, cid), in the shared folder."""
+def links(docs: DataFrame, text: str = "text", k: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Forest of links (a, b) between classes, the number of all links of each class that has any: (cid, n_links), and
+    what class every row has: (doc_id, n, cid), in the shared folder."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text).cast("string").alias("text"))
     classes = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lambda b: _classes(b, k), "doc_id long, n long, cid long"))
@@ -353,7 +344,7 @@ def links(docs: DataFrame, text: str = "text", k: int = 4, percent: int = 85) ->
     homes = written(label.groupBy("cid").agg(F.min("home").alias("home")))
 
     ha, hb = homes.selectExpr("cid AS a", "home AS ha"), homes.selectExpr("cid AS b", "home AS hb")
-    visits = pairs.join(ha, "a").join(hb, "b").where("ha != hb").selectExpr("a AS cid", "hb AS home")
+    visits = pairs.join(ha, "a").join(hb, "b").where("ha != hb").selectExpr("IF(ha > hb, a, b) AS cid", "least(ha, hb) AS home")
     at_key = hot_keys.join(homes, "cid").select("key", "cid", "home")
     key_homes = at_key.select("key", F.col("home").alias("other")).distinct()
     visits = visits.union(at_key.join(key_homes, "key").where("other < home").selectExpr("cid", "other AS home")).distinct()
@@ -368,8 +359,10 @@ def links(docs: DataFrame, text: str = "text", k: int = 4, percent: int = 85) ->
     sent_wanted = spark.sparkContext.broadcast(wanted)
     sets = texts.mapInArrow(lambda b: _sets(b, k, sent_wanted.value), "cid long, shingles binary")
     work = todo.hint("shuffle_merge").join(sets, "cid").select("home", "block", "role", "cid", "shingles")
-    work = work.repartition(partitions(spark), "home", "block").sortWithinPartitions("home", "block", "role")
-    return written(work.mapInArrow(lambda b: _search(b, percent), "a long, b long").distinct()), classes
+    work = work.repartition(partitions(spark), "home", "block").sortWithinPartitions("home", "block", "role", "cid")
+    met = written(work.mapInArrow(lambda b: _search(b, percent), "a long, b long, n long"))
+    degree = met.where("a = b").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("n_links"))
+    return met.where("a != b").select("a", "b").distinct(), degree, classes
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -395,10 +388,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join_components(docs: DataFrame, text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) for each row; n_links: links of its class in the forest."""
-    forest, classes = links(docs, text, k, percent)
+    """(doc_id, n_shingles, component_id, n_links) for each row; n_links: classes, other than its own, whose similarity with it reaches the threshold."""
+    forest, degree, classes = links(docs, text, k, percent)
     roots = components(forest)
-    degree = forest.selectExpr("a AS cid").union(forest.selectExpr("b")).groupBy("cid").agg(F.count("*").alias("n_links"))
     least = classes.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"))
     least = least.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     of_root = least.groupBy("root").agg(F.min("first").alias("component_id"))

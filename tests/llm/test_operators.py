@@ -78,6 +78,28 @@ def test_jaccard_join_on_dense_groups(spark, monkeypatch):
     assert got == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("block", [8, 1024])
+def test_jaccard_join_counts_every_link(spark, monkeypatch, block):
+    """n_links is the number of other texts that reach the threshold, in blocks of few documents and across homes."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choices("abcdefghijkl", k=4))
+    shared, texts = [word() for _ in range(30)], []
+    for family in range(6):
+        base = [word() for _ in range(100)] + shared
+        for _ in range([3, 12, 12, 30, 30, 60][family]):
+            w = list(base)
+            for _ in range(rnd.randint(0, 4)):
+                w[rnd.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    rows = list(enumerate(texts + texts[::5]))  # exact copies are of one class, on several tasks
+    sets = [frozenset(s) for s in sets_of(rows, 4)]
+    many = {s: sum(100 * len(s & o) >= 85 * len(s | o) for o in set(sets)) - 1 for s in set(sets)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.n_links for r in jaccard_join.join_components(df).collect()}
+    assert max(many.values()) > 8 and got == {i: many[s] for (i, _), s in zip(rows, sets, strict=True)}
+
+
 def test_jaccard_join_of_nothing(no_documents):
     assert jaccard_join.join_components(no_documents).count() == 0
 
