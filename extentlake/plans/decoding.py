@@ -50,9 +50,11 @@ def q44_bounds_stats(a: Archive) -> DataFrame:
 FROM (SELECT id, element, encode(substr(t, 4 * element + 1, 4)) AS part FROM (SELECT doc_id AS id, regexp_replace(text, '[^\\x01-\\x7F]', '', 'g') AS t, unnest(range(least(length(regexp_replace(text, '[^\\x01-\\x7F]', '', 'g')) // 4, 20))) AS element FROM documents)))""")
 def q62_typed_words(a: Archive) -> DataFrame:
     t = F.regexp_replace("text", "[^\\x01-\\x7F]", "")
-    d = a.table("documents").select(F.col("doc_id").alias("id"), t.cast("binary").alias("data"), F.least(F.expr("length(regexp_replace(text, '[^\\\\x01-\\\\x7F]', '')) div 4"), F.lit(20)).alias("n"))
-    e = d.where("n > 0").withColumn("element", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)))
-    return e.select("id", "element", binary.le_unsigned(F.col("data"), F.col("element") * 4, 4).alias("value"), F.hex(F.col("data").substr((F.col("element") * 4 + 1).cast("int"), F.lit(4))).alias("raw_hex"))
+    d = a.table("documents").select(F.col("doc_id").alias("id"), t.cast("binary").alias("data")).where("length(data) >= 4")
+    # a text's words are cut out at once, so that no row carries the whole text
+    part = F.transform(F.expr("sequence(0, length(data) div 4 - 1)"), lambda i: F.substring("data", i * 4 + 1, F.lit(4)))
+    e = d.select("id", F.posexplode(part).alias("element", "part")).withColumn("element", F.col("element").cast("long"))
+    return e.select("id", "element", binary.le_unsigned(F.col("part"), F.lit(0), 4).alias("value"), F.hex("part").alias("raw_hex"))
 
 
 @query("""SELECT id, printf('s%d_c%d_o%x', segment, cluster, logical_offset) AS address, segment AS s, logical_offset AS o FROM alloc""")
