@@ -2,6 +2,7 @@
 
 import re
 
+from extentlake.plans.fixture import Archive
 from extentlake.plans.queries import QUERIES
 
 from .conftest import SMALL
@@ -16,3 +17,12 @@ def test_every_word_is_decoded(spark, tmp_path):
         want |= {(i, k, int.from_bytes(data[4 * k : 4 * k + 4], "little"), data[4 * k : 4 * k + 4].hex().upper()) for k in range(len(data) // 4)}
     got = [tuple(r) for r in QUERIES["q62_typed_words"](spark, str(tmp_path)).select("id", "element", "value", "raw_hex").collect()]
     assert len(got) == len(want) > 700 and set(got) == want
+
+
+def test_every_element_is_expanded(spark):
+    want = set()
+    for r in Archive(spark, SMALL).alloc.collect():
+        n = (r.size - r.array_header_size) // r.element_stride if r.vector else 1
+        want |= {(r.id, i, r.logical_offset + r.array_header_size + i * r.element_stride) for i in range(n)}
+    got = [tuple(r) for r in QUERIES["q23_element_expand"](spark, SMALL).select("id", "element_index", "offset").collect()]
+    assert max(w[1] for w in want) > 40 and len(got) == len(want) and set(got) == want
