@@ -26,3 +26,25 @@ def test_every_element_is_expanded(spark):
         want |= {(r.id, i, r.logical_offset + r.array_header_size + i * r.element_stride) for i in range(n)}
     got = [tuple(r) for r in QUERIES["q23_element_expand"](spark, SMALL).select("id", "element_index", "offset").collect()]
     assert max(w[1] for w in want) > 40 and len(got) == len(want) and set(got) == want
+
+
+def test_every_allocation_is_read(spark):
+    text = {r.doc_id: (r.text or "").encode() for r in Archive(spark, SMALL).table("documents").collect()}
+    want = {}
+    for i, data in text.items():
+        first, size = i % 7, 40 + i % 3 * 5000
+        whole = len(data) >= first + size
+        want[i] = ("READ", data[first : first + size].hex().upper()) if whole else ("INCOMPLETE", None)
+    got = QUERIES["q28_logical_read"](spark, SMALL).collect()
+    assert len(got) == len(want) and {r.request_id: (r.status, r.bytes) for r in got} == want
+
+
+def test_every_allocation_is_mapped(spark):
+    want = set()
+    for r in Archive(spark, SMALL).alloc.collect():
+        for k in range(r.logical_offset // 4096, (r.logical_offset + r.size - 1) // 4096 + 1):
+            first, last = max(r.logical_offset, 4096 * k), min(r.logical_offset + r.size, 4096 * k + 4096)
+            base = 512 + r.segment * 1000000007 + r.cluster * 100000007 + k * 7919 % 1000003 * 4096
+            want.add((r.id, first, base + first - 4096 * k, last - first))
+    got = [tuple(r) for r in QUERIES["q59_physical_spans"](spark, SMALL).select("request_id", "logical_start", "physical_start", "length").collect()]
+    assert len(got) == len(want) and set(got) == want
