@@ -115,6 +115,19 @@ def test_index_search_equals_counting():
             assert index.search(q).tolist() == want
 
 
+def test_language_model_keeps_every_gram(spark, monkeypatch):
+    """A language of few rows beside a large one keeps all its 4-grams, whatever bound the module once had."""
+    monkeypatch.setattr(language, "MAX_GRAMS", 20, raising=False)
+    rnd = random.Random(2)
+    word = lambda letters: "".join(rnd.choices(letters, k=6))
+    rows = [(i, " ".join(word("abcdefgh") for _ in range(20)) * 3, "large") for i in range(60)] + [(60, " ".join(word("stuvwxyz") for _ in range(5)), "small")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models, _ = language.trained(docs)
+    assert models.langs == ["large", "small"]
+    grams = {(w + chr(language.END))[max(0, i - 3) : i + 1].rjust(4, chr(language.START)) for _, t, _ in rows for w in t.split() for i in range(len(w) + 1)}
+    assert len(models.keys[-1]) == len(grams)
+
+
 def brute_hits(docs, items):
     pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     windows = defaultdict(set)
