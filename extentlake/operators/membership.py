@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def list_chains(blocks: DataFrame, most: int = 64, cut=None) -> DataFrame:
+def list_chains(blocks: DataFrame, most: int | None = None, cut=None) -> DataFrame:
     """(coll_id, node_id, place) of each collection's chain from its root, over blocks (coll_id, node_id, next_node_id, is_root).
 
-    A block that was seen isn't followed again.
+    A block that was seen isn't followed again.  Chains are followed to their ends; `most` is a budget of links, and
+    list_membership tells the chains that it ended.  cut: what writes a round's rows, as long chains need.
     """
     step = blocks.select("coll_id", "node_id", "next_node_id")
     chain = blocks.where("is_root").select("coll_id", "node_id", F.lit(0).cast("long").alias("place"))
     front = chain
-    for place in range(1, most + 1):
+    for place in count(1) if most is None else range(1, most + 1):
         new = front.join(step, ["coll_id", "node_id"]).where("next_node_id IS NOT NULL").select("coll_id", F.col("next_node_id").alias("node_id")).distinct()
         front = new.join(chain, ["coll_id", "node_id"], "left_anti").withColumn("place", F.lit(place).cast("long"))
         front = cut(front) if cut else front
@@ -25,10 +28,15 @@ def list_chains(blocks: DataFrame, most: int = 64, cut=None) -> DataFrame:
 
 
 def list_membership(collections: DataFrame, blocks: DataFrame, chain: DataFrame) -> DataFrame:
-    """(coll_id, declared, observed, n_blocks, status): members are the first local_card slots of each chained block."""
+    """(coll_id, declared, observed, n_blocks, status): members are the first local_card slots of each chained block.
+
+    Where a chained block's next one isn't in the chain, a budget has ended it: RESOURCE_BOUND.
+    """
     seen = chain.join(blocks, ["coll_id", "node_id"]).groupBy("coll_id").agg(F.sum("local_card").alias("observed"), F.count("*").alias("n_blocks"))
-    out = collections.join(seen, "coll_id", "left").withColumns({"observed": F.coalesce("observed", F.lit(0)).cast("long"), "n_blocks": F.coalesce("n_blocks", F.lit(0)).cast("long")})
-    return out.select("coll_id", "declared", "observed", "n_blocks", F.when(F.col("declared") == F.col("observed"), "VERIFIED_CARDINALITY").otherwise("CARDINALITY_MISMATCH").alias("status"))
+    onward = chain.join(blocks, ["coll_id", "node_id"]).where("next_node_id IS NOT NULL").select("coll_id", F.col("next_node_id").alias("node_id"))
+    ended = onward.join(chain, ["coll_id", "node_id"], "left_anti").select("coll_id").distinct().withColumn("ended", F.lit(True))
+    out = collections.join(seen, "coll_id", "left").join(ended, "coll_id", "left").withColumns({"observed": F.coalesce("observed", F.lit(0)).cast("long"), "n_blocks": F.coalesce("n_blocks", F.lit(0)).cast("long")})
+    return out.select("coll_id", "declared", "observed", "n_blocks", F.when(F.col("ended"), "RESOURCE_BOUND").when(F.col("declared") == F.col("observed"), "VERIFIED_CARDINALITY").otherwise("CARDINALITY_MISMATCH").alias("status"))
 
 
 def set_membership(sets: DataFrame, slots: DataFrame) -> DataFrame:

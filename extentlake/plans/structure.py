@@ -22,11 +22,11 @@ def _cut(df: DataFrame) -> DataFrame:
   CASE WHEN count(*) + (CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END) = count(*) FILTER (turn < least(gap, 12)) THEN 'VERIFIED_CARDINALITY' ELSE 'CARDINALITY_MISMATCH' END AS status
 FROM (SELECT *, coalesce(min(CASE WHEN turn <> r THEN r END) OVER (PARTITION BY conv_id), 1000000) AS gap FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL))) GROUP BY conv_id""")
 def q38_list_membership(a: Archive) -> DataFrame:
-    """Turns of a conversation as the blocks of a list, each linked to the next turn, from turn 0 on and at most 12."""
+    """Turns of a conversation as the blocks of a list, each linked to the next turn, from turn 0 on."""
     turns = a.table("conversations").select("conv_id", "turn").where("conv_id IS NOT NULL AND turn IS NOT NULL").distinct()
-    blocks = turns.selectExpr("conv_id AS coll_id", "turn AS node_id", "CASE WHEN turn < 11 THEN turn + 1 END AS next_node_id", "turn = 0 AS is_root", "1 AS local_card")
+    blocks = turns.selectExpr("conv_id AS coll_id", "turn AS node_id", "turn + 1 AS next_node_id", "turn = 0 AS is_root", "1 AS local_card")
     declared = turns.groupBy(F.col("conv_id").alias("coll_id")).agg(F.count("*").alias("n")).select("coll_id", (F.col("n") + F.when(F.col("coll_id") % 5 == 0, 1).otherwise(0)).alias("declared"))
-    return membership.list_membership(declared, blocks, membership.list_chains(blocks, 16, _cut))
+    return membership.list_membership(declared, blocks, membership.list_chains(blocks, cut=_cut))
 
 
 @query("""SELECT o_custkey AS coll_id, count(*) + (CASE WHEN o_custkey % 7 = 0 THEN 1 ELSE 0 END) AS n_entries, count(*) AS members,

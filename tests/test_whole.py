@@ -2,6 +2,7 @@
 
 import re
 
+from extentlake.operators import membership
 from extentlake.plans.fixture import Archive
 from extentlake.plans.queries import QUERIES
 
@@ -48,3 +49,17 @@ def test_every_allocation_is_mapped(spark):
             want.add((r.id, first, base + first - 4096 * k, last - first))
     got = [tuple(r) for r in QUERIES["q59_physical_spans"](spark, SMALL).select("request_id", "logical_start", "physical_start", "length").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_every_block_of_a_list_is_followed(spark, tmp_path):
+    turns = [(1, t) for t in range(19)] + [(2, t) for t in range(3)] + [(3, t) for t in (0, 1, 3)]
+    spark.createDataFrame(turns, "conv_id long, turn long").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.coll_id: (r.declared, r.observed, r.status) for r in QUERIES["q38_list_membership"](spark, str(tmp_path)).collect()}
+    assert got == {1: (19, 19, "VERIFIED_CARDINALITY"), 2: (3, 3, "VERIFIED_CARDINALITY"), 3: (3, 2, "CARDINALITY_MISMATCH")}
+
+
+def test_a_budget_that_ends_a_list_is_told(spark):
+    blocks = spark.createDataFrame([(c, i, i + 1 if i < n else None, i == 0, 1) for c, n in ((1, 2), (2, 5)) for i in range(n + 1)], "coll_id long, node_id long, next_node_id long, is_root boolean, local_card long")
+    declared = spark.createDataFrame([(1, 3), (2, 6)], "coll_id long, declared long")
+    got = {r.coll_id: (r.observed, r.status) for r in membership.list_membership(declared, blocks, membership.list_chains(blocks, 2)).collect()}
+    assert got == {1: (3, "VERIFIED_CARDINALITY"), 2: (3, "RESOURCE_BOUND")}
