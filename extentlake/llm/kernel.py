@@ -6,14 +6,17 @@ times SLICE_BYTES, or the longest text where one text is longer.  Nulls count as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
-WORDS_AT_ONCE = 1 << 18
+#: Values whose running sum is held at once.
+BLOCK = 1 << 18
 _ROOT = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD6E8FEB86659FD93
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -81,30 +84,45 @@ def word_bounds(text: np.ndarray, at: np.ndarray, members: np.ndarray) -> tuple[
     return start, end, np.searchsorted(start, at)
 
 
-def word_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a polynomial over random byte values, scrambled with its length."""
-    table, out = _values(lower), np.empty(len(start), np.uint64)
-    for k in range(0, len(start), WORDS_AT_ONCE):
-        s, e = start[k : k + WORDS_AT_ONCE], end[k : k + WORDS_AT_ONCE]
-        size = e - s
-        first = np.cumsum(size) - size
-        place = np.arange(int(size.sum())) - np.repeat(first, size)
-        powers = _powers(int(size.max()))
-        value = table[text[np.repeat(s, size) + place]] * powers[place]
-        out[k : k + WORDS_AT_ONCE] = mix(np.add.reduceat(value, first) + size.astype(np.uint64) * _B)
-    return out
+def run_hashes(values: Callable[[int, int], np.ndarray], n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of some runs of n values, in order and apart: a polynomial over the values, scrambled with its length.
 
+    Taken as differences of running sums over BLOCK values at a time; a run that crosses an edge adds up its parts.
+    """
+    (power, inverse), out, sums = _powers(BLOCK), np.zeros(len(start), np.uint64), np.zeros(BLOCK + 1, np.uint64)
+    for low in range(0, n, BLOCK):
+        high = min(low + BLOCK, n)
+        i, k = np.searchsorted(end, low, "right"), np.searchsorted(start, high, "left")
+        if i < k:
+            np.cumsum(values(low, high) * power[: high - low], out=sums[1 : high - low + 1])
+            s = np.maximum(start[i:k], low) - low
+            part = (sums[np.minimum(end[i:k], high) - low] - sums[s]) * inverse[s]
+            if start[i] < low:
+                part[:1] *= np.uint64(pow(_BASE, low - int(start[i]), 1 << 64))
+            out[i:k] += part
+    return mix(out + (end - start).astype(np.uint64) * _B)
 
-_POWERS = np.ones(1, np.uint64)
+
+def word_hashes(text: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """A 64-bit hash of each word's bytes."""
+    table = _values(lower)
+    return run_hashes(lambda low, high: table[text[low:high]], len(text), start, end)
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        steps = np.full(max(n, 256), np.uint64(0xD6E8FEB86659FD93))
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _BASE below n modulo 2**64, and their inverses."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, np.uint64(base))
         steps[0] = 1
-        _POWERS = np.multiply.accumulate(steps)
-    return _POWERS
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+@cache
+def _factors(k: int) -> list[np.uint64]:
+    return [np.uint64(int(x) | 1) for x in mix(np.arange(1, k + 1, dtype=np.uint64) * _A)]
 
 
 def windows(words: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,9 +132,9 @@ def windows(words: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray,
     starts = np.cumsum(n) - n
     at = np.arange(int(n.sum())) + np.repeat(before[:-1] - starts, n)
     value = np.full(len(at), np.uint64(k))
-    for j in range(k):
-        value = mix(value * _ROOT + words[at + j])
-    return value, np.append(starts, len(at))
+    for j, factor in enumerate(_factors(k)):
+        value += words[at + j] * factor
+    return mix(value), np.append(starts, len(at))
 
 
 def shingle_sets(text: np.ndarray, at: np.ndarray, k: int, members: np.ndarray = SPACED, lower: bool = True) -> list[np.ndarray]:
@@ -126,14 +144,12 @@ def shingle_sets(text: np.ndarray, at: np.ndarray, k: int, members: np.ndarray =
     value, cut = windows(words, before, k)
     out = []
     for d in range(len(at) - 1):
-        n = before[d + 1] - before[d]
+        n = int(before[d + 1] - before[d])
         if n >= k:
-            out.append(np.unique(value[cut[d] : cut[d + 1]]))
+            own = np.sort(value[cut[d] : cut[d + 1]])
+            out.append(own[np.append(True, own[1:] != own[:-1])])
         elif n:
-            own, whole = words[before[d] : before[d + 1]], np.full(1, np.uint64(n))
-            for w in own:
-                whole = mix(whole * _ROOT + w)
-            out.append(whole)
+            out.append(windows(words[before[d] : before[d + 1]], np.array([0, n]), n)[0])
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -3,7 +3,8 @@
 A byte-level BPE encodes each piece of its splitting pattern for itself, so a piece's ids are found once and kept.
 Pieces are cut from code points with numpy by the pattern's rules (contractions; a blank with letters, numbers or other
 marks; white space).  Texts that hold a special token's string, or characters that are unassigned or beyond the basic
-plane, go to the library whole, as do all texts where the tokenizer's file isn't of this kind.
+plane, go to the library whole, as do all texts where the tokenizer's file isn't of this kind.  Kept pieces are found by a 64-bit
+hash and compared with the text itself.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import cache
 
 import numpy as np
 
-from .kernel import _powers, mix
+from .kernel import mix, run_hashes
 
 LETTER, NUMBER, SPACE, OTHER, ODD = range(5)
 #: Pieces whose ids a worker keeps before it starts anew.
@@ -93,7 +94,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.lies, self.long, self.text, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.uint32)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -128,9 +129,7 @@ class Encoder:
     def _pieces(self, cps: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = cut(cps, at, kind)
         size = np.diff(np.append(start, len(cps)))
-        place = np.arange(len(cps)) - np.repeat(start, size)
-        value = mix(cps.astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()))[place]
-        key = mix(np.add.reduceat(value, start) + mix(size.astype(np.uint64)))
+        key = run_hashes(lambda low, high: mix(cps[low:high].astype(np.uint64) + np.uint64(1)), len(cps), start, start + size)
         distinct, one, which = np.unique(key, return_index=True, return_inverse=True)
         if len(self.keys) > KEEP:
             self._clear()
@@ -145,9 +144,18 @@ class Encoder:
                 got += ids
             first = len(self.ids) + np.cumsum(n) - n
             self.ids = np.concatenate([self.ids, np.array(got, np.uint32)])
+            long_ = size[one[missing]]
+            lies = len(self.text) + np.cumsum(long_) - long_
+            self.text = np.concatenate([self.text, cps[np.repeat(s - (lies - len(self.text)), long_) + np.arange(int(long_.sum()))].astype(np.uint16)])
             spot = np.searchsorted(self.keys, distinct[missing])
-            self.keys, self.first, self.size = np.insert(self.keys, spot, distinct[missing]), np.insert(self.first, spot, first), np.insert(self.size, spot, n)
+            self.keys, self.first, self.size, self.lies = (np.insert(old, spot, new) for old, new in ((self.keys, distinct[missing]), (self.first, first), (self.size, n), (self.lies, lies)))
+            self.long = np.insert(self.long, spot, long_)
             near = np.searchsorted(self.keys, distinct)
+        # every piece against the one kept under its key: where two share a key, nothing kept may be used
+        kept = self.text[np.minimum(np.repeat(self.lies[near][which] - start, size) + np.arange(len(cps)), len(self.text) - 1)]
+        if (kept != cps).any() or (self.long[near][which] != size).any():
+            parts = [self._whole(cps[a:b].tobytes().decode("utf-32-le")) for a, b in zip(at[:-1], at[1:], strict=True)]
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
         first, n = self.first[near][which], self.size[near][which]
         ends = np.cumsum(n)
         ids = self.ids[np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]))]

@@ -54,3 +54,24 @@ def test_pieces_encode_like_the_library():
     parts = np.split(ids, np.cumsum(n)[:-1])
     for t, p in zip(got, parts, strict=True):
         assert p.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_hashes_of_runs_that_cross_edges(monkeypatch):
+    """A run's hash is that of its values alone, wherever it lies and however the running sums are cut."""
+    text = np.frombuffer(b"alpha beta " * 40 + b"x" * 500 + b" alpha", np.uint8)
+    at = np.array([0, len(text)])
+    start, end, _ = kernel.word_bounds(text, at, kernel.SPACED)
+    want = kernel.word_hashes(text, start, end, True)
+    monkeypatch.setattr(kernel, "BLOCK", 7)
+    assert kernel.word_hashes(text, start, end, True).tolist() == want.tolist()
+    assert len(set(want.tolist())) == 3 and want[0] == want[-1]
+
+
+def test_pieces_that_share_a_key_go_to_the_library(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    e = pretokens.Encoder(public.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(pretokens, "run_hashes", lambda values, n, start, end: (end - start).astype(np.uint64))
+    got = ["one two six", "red fox", ""]
+    ids, n = e.encode(got)
+    for t, p in zip(got, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert p.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
