@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a bitmap that goes to all executors: 2 MB whatever the input.
-BITMAP_BITS = 24
+#: Bits, as a power of two, of the largest bitmap that goes to all executors: 16 MB whatever the input.
+BITMAP_BITS = 27
 
 
 @cache
@@ -20,8 +20,12 @@ def _local() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset, as in tests, below a local folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or _local()
+    """A new path below spark.checkpoint.dir; where that is unset, below a local folder if everything runs on one machine, else an error."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        top = _local()
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -40,12 +44,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def bitmap(places: DataFrame, column: str) -> bytes:
-    """The set bits at the places of a column of longs from 0 to 2**BITMAP_BITS - 1, as bytes, lowest bit first."""
+def bits_for(n: int) -> int:
+    """Bits of a bitmap in which n places fill an eighth, within BITMAP_BITS."""
+    return min(max(8 * n, 1 << 16).bit_length(), BITMAP_BITS)
+
+
+def bitmap(places: DataFrame, column: str, bits: int) -> bytes:
+    """The set bits at the places of a column of longs from 0 to 2**bits - 1, as bytes, lowest bit first."""
     parts = places.groupBy(F.shiftright(column, 15).alias("part")).agg(F.expr(f"bitmap_construct_agg({column} & 32767)").alias("bits"))
-    out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    for part, bits in parts.collect():
-        out[part << 12 : (part + 1) << 12] = np.frombuffer(bits, np.uint8)
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for part, got in parts.toLocalIterator():
+        out[part << 12 : (part + 1) << 12] = np.frombuffer(got, np.uint8)
     return out.tobytes()
 
 

@@ -50,7 +50,7 @@ def brute_components(rows, k, percent):
     return Counter((rows[i][0], len(sets[i]), least(groups[top(i)]) if sets[i] else rows[i][0]) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
+@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80), (2, 100), (1, 34)])
 def test_jaccard_join_on_odd_rows(odd_documents, k, percent):
     got = jaccard_join.join_components(odd_documents, k=k, percent=percent)
     rows = [(r.doc_id, r.text) for r in odd_documents.select("doc_id", "text").collect()]
