@@ -5,8 +5,10 @@ an order by size; each expects target / size copies, the running sum of which st
 and a document comes out once for every whole number that the sum passes.  So every class of
 sizes gives its part, and the words taken come near the target.
 
-The running sum is taken in two steps, within blocks of (source, size class, slice of ids) and over the blocks' counts,
-so that no task holds a source; a size class of a source has one slice for each BLOCK documents.  Built-in functions only; the offset is a digest of the source and the seed, so reruns agree.
+The running sum is taken in three steps, over a source's size classes (some 200 at most), over the slices of a class, and within
+a slice, so that no task holds a source; a size class has one slice for each BLOCK documents, dealt by a digest of id and text.
+Only the table of sources, a row for each, is ordered in one task.  Built-in functions only; the offset is a digest of the
+source and the seed, so reruns agree.
 
 Nulls: a null source is a source, the last; a null text has size 0.  Null ids come first within their block.  Repeated
 rows each count.  Extra columns are kept in the struct row.  An empty table, or one without a word, takes nothing.
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from .columns import n_words
 from .shared import table, written
 
-#: Documents of a source and size class in one block, about.
-BLOCK = 1 << 10
+#: Documents of a source and size class in one slice, about.
+BLOCK = 1 << 8
 WEIGHTS = (5, 2, 1)
 
 
@@ -45,8 +47,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int =
 
 
 def sized(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """(row, doc_id, mix): the documents as a struct, and what the mix needs: size, source and size class."""
-    mix = F.struct(n_words(F.col(text)).alias("size"), F.col(source).cast("string").alias("source"))
+    """(row, doc_id, mix): the documents as a struct, and what the mix needs: size, source, a digest and the size class."""
+    digest = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"))).cast("binary"))
+    mix = F.struct(n_words(F.col(text)).alias("size"), F.col(source).cast("string").alias("source"), F.conv(F.substring(digest, 1, 12), 16, 10).cast("long").alias("digest"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), mix.alias("mix"))
     return rows.withColumn("mix", F.col("mix").withField("class", F.floor(8 * F.log2(F.col("mix.size") + 1)).cast("int")))
 
@@ -54,22 +57,24 @@ def sized(docs: DataFrame, text: str = "text", source: str = "source") -> DataFr
 def mixed(rows: DataFrame, seed: int = 0) -> DataFrame:
     """Sized documents with struct `mix`: size, source_size, target and copies.  Of their columns row may lack."""
     others = [c for c in rows.columns if c != "mix"]
-    groups = written(rows.groupBy(F.col("mix.source").alias("g_source"), F.col("mix.class").alias("g_class")).agg(F.count("*").alias("n"), F.sum("mix.size").alias("words")))
+    groups = rows.groupBy(F.col("mix.source").alias("g_source"), F.col("mix.class").alias("g_class")).agg(F.count("*").alias("n"), F.sum("mix.size").alias("words"))
+    smaller = Window.partitionBy("g_source").orderBy("g_class").rowsBetween(Window.unboundedPreceding, -1)
+    groups = written(groups.withColumn("smaller", F.coalesce(F.sum("n").over(smaller), F.lit(0))))
     aims = targets(groups.groupBy(F.col("g_source").alias("source")).agg(F.sum("n").alias("n_docs"), F.sum("words").alias("source_size")))
-    cut = groups.join(aims, F.col("g_source").eqNullSafe(F.col("source"))).select("g_source", "g_class", F.ceil(F.col("n") / BLOCK).cast("int").alias("slices"), "source_size", "target")
-    rows = rows.join(cut, F.expr("mix.source <=> g_source AND mix.class = g_class"))
-    rows = rows.withColumn("mix", F.col("mix").withField("slice", F.coalesce(F.pmod("doc_id", F.col("slices")), F.lit(0)).cast("int")))
+    cut = groups.join(aims, F.col("g_source").eqNullSafe(F.col("source"))).select("g_source", "g_class", "smaller", F.ceil(F.col("n") / BLOCK).alias("slices"), "source_size", "target")
+    rows = rows.join(written(cut), F.expr("mix.source <=> g_source AND mix.class = g_class"))
+    rows = rows.withColumn("mix", F.col("mix").withField("slice", F.pmod("mix.digest", F.col("slices"))))
     blocks = rows.groupBy(F.col("mix.source").alias("b_source"), F.col("mix.class").alias("b_class"), F.col("mix.slice").alias("b_slice")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("b_source").orderBy("b_class", "b_slice").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("b_source", "b_class").orderBy("b_slice").rowsBetween(Window.unboundedPreceding, -1)
     blocks = written(blocks.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).drop("n"))
-    place = Window.partitionBy("mix.source", "mix.class", "mix.slice").orderBy("doc_id", "mix.size")
+    place = Window.partitionBy("mix.source", "mix.class", "mix.slice").orderBy("doc_id", "mix.size", "mix.digest")
     rows = rows.withColumn("mix", F.col("mix").withField("place", F.row_number().over(place)))
     rows = rows.join(blocks, F.expr("mix.source <=> b_source AND mix.class = b_class AND mix.slice = b_slice"))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("mix.source", F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    ranked = (F.col("before") + F.col("mix.place")).cast("double")
+    ranked = (F.col("smaller") + F.col("before") + F.col("mix.place")).cast("double")
     copies = (F.floor(ranked * rate + offset) - F.floor((ranked - 1) * rate + offset)).cast("long")
-    mix = F.struct(F.col("mix.size").alias("size"), "source_size", "target", F.least(copies, F.lit(2)).alias("copies"))
+    mix = F.struct(F.col("mix.size").alias("size"), "source_size", "target", F.least(copies, F.lit(2)).alias("copies"))  # a rate of 2 may round to 3
     return rows.select(*others, mix.alias("mix"))
 
 
@@ -81,9 +86,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op4_mixing": op4_mixing}
 SQL = {
     "op4_mixing": r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST('0x' || substr(md5(concat_ws(':', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 12) AS BIGINT) AS digest, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 e AS (SELECT *, CAST(floor(8 * log2(size + 1)) AS INT) AS class FROM d),
-c AS (SELECT *, coalesce(abs(doc_id) % ((count(*) OVER (PARTITION BY source, class) + 1023) // 1024), 0) AS slice FROM e),
+c AS (SELECT *, digest % ((count(*) OVER (PARTITION BY source, class) + 255) // 256) AS slice FROM e),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (
   SELECT *, CAST([5, 2, 1][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
@@ -95,7 +100,7 @@ v AS (
 a AS (
   SELECT source, source_size, least(cap, coalesce(weight * (SELECT arg_min(level, ratio) FROM v WHERE level <= ratio), cap)) AS target FROM v),
 p AS (
-  SELECT c.doc_id, c.size, a.source_size, a.target, row_number() OVER (PARTITION BY c.source ORDER BY class, slice, doc_id NULLS FIRST, size) AS k,
+  SELECT c.doc_id, c.size, a.source_size, a.target, row_number() OVER (PARTITION BY c.source ORDER BY class, slice, doc_id NULLS FIRST, size, digest) AS k,
     CAST('0x' || substr(md5('0:' || coalesce(c.source, '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u,
     CASE WHEN a.source_size > 0 THEN a.target / a.source_size ELSE 0 END AS rate
   FROM c JOIN a ON c.source IS NOT DISTINCT FROM a.source)

@@ -369,23 +369,27 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def detected(docs: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each document: counts of base spans by kind, their digest, and all spans."""
+    """A row for each document: counts of base spans by kind, their digest, all spans, and how many the field added by kind and in all."""
     sent = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = sent.value
         for batch in batches:
-            n, digest, spans = [[] for _ in BASE], [], []
+            n, digest, spans, added = [[] for _ in BASE], [], [], [[] for _ in KINDS]
             for t in batch.column(1):
                 base, every = found(t.as_py() or "", field)
                 for k in range(len(BASE)):
                     n[k].append(sum(1 for b in base if b[1] == k))
                 digest.append(hashlib.sha256(listed(base).encode()).hexdigest())
                 spans.append(listed(every))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in n), pa.array(digest, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+                for k in range(len(KINDS)):
+                    added[k].append(sum(1 for x in every if x[1] == k) - sum(1 for x in base if x[1] == k))
+            total = [sum(x) for x in zip(*n, *added, strict=True)]
+            columns = [batch.column(0), *(pa.array(x, pa.int64()) for x in n), pa.array(digest, pa.string()), pa.array(spans, pa.string()), *(pa.array(x, pa.int64()) for x in added), pa.array(total, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(f"added_{k}" for k in KINDS), "n_spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, " + "".join(f"added_{k} long, " for k in KINDS) + "n_spans long")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

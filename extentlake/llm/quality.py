@@ -5,7 +5,7 @@ A policy is a named, versioned set of bits; applying one, or counting what each
 text again.  Built-in functions only; no shuffle for the ledger.
 
 Nulls: a null text has no words and fails few_words.  Repeated rows: each is measured for itself.  Extra columns
-are kept by judged() and not read.  An empty table gives no rows.
+are kept in the struct row, whatever their names, and not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,9 +35,8 @@ CURRENT = "web-1"
 
 def _repeat_words(w: Column) -> Column:
     """Words inside 3-word windows found twice or more: windows sorted with their places, those equal to a neighbour
-    kept, and their places in order; each adds three words less its overlap with the one before."""
+    kept, and their places in order; each adds three words less its overlap with the one before.  Windows are compared by 64-bit hashes."""
     windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), i.alias("i")))
-    # compared in order with an accumulator: HOF filters with an index would look up both neighbours
     places = let(
         F.sort_array(windows),
         lambda s: F.sort_array(
@@ -48,8 +47,8 @@ def _repeat_words(w: Column) -> Column:
     return F.when(F.size(w) >= 4, covered).otherwise(0)
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with their measurements and fail_bits in a struct column `ledger`."""
+def judged(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(row, ledger): the documents as a struct, and their measurements and fail_bits."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0)
 
@@ -62,7 +61,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
             _repeat_words(w).cast("long").alias("n_repeat_words"),
         )
 
-    m = docs.withColumn("ledger", let(words(F.col(text)), measured))
+    m = docs.select(F.struct(*docs.columns).alias("row"), let(words(F.col(text)), measured).alias("ledger"))
     at = {name: F.col("ledger.lines.n") if name == "n_lines" else F.col("ledger.lines.dup") if name == "n_dup_lines" else F.col(f"ledger.{name}") for name in MEASURES}
     m = m.withColumn("ledger", F.struct(*(c.alias(name) for name, c in at.items())))
     bits = F.lit(0).cast("long")
@@ -71,6 +70,11 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     return m.withColumn("ledger", F.col("ledger").withField("fail_bits", bits))
 
 
+def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents with a struct column `ledger`, which they must not have."""
+    return judged(docs, text).select("row.*", "ledger")
+
+
 def _named(rule: str) -> str:
     for name in sorted(MEASURES, key=len, reverse=True):
         rule = " ".join(f"ledger.{x}" if x == name else x for x in rule.split(" "))
@@ -81,9 +85,9 @@ def passes(policy: str = CURRENT) -> Column:
     return F.col("ledger.fail_bits").bitwiseAND(F.lit(POLICIES[policy])) == 0
 
 
-def ablation(judged: DataFrame, policy: str = CURRENT) -> DataFrame:
+def ablation(ledgers: DataFrame, policy: str = CURRENT) -> DataFrame:
     """For each rule of a policy: documents that fail it, and those that would be kept without it, from counts by bit pattern."""
-    patterns = judged.groupBy(F.col("ledger.fail_bits").bitwiseAND(F.lit(POLICIES[policy])).alias("bits")).agg(F.count("*").alias("n"))
+    patterns = ledgers.groupBy(F.col("ledger.fail_bits").bitwiseAND(F.lit(POLICIES[policy])).alias("bits")).agg(F.count("*").alias("n"))
     rules = [F.struct(F.lit(n).alias("rule"), F.lit(b).cast("long").alias("bit")) for n, b in BIT.items() if b & POLICIES[policy]]
     each = patterns.select("bits", "n", F.explode(F.array(*rules)).alias("r"))
     return each.groupBy(F.col("r.rule").alias("rule")).agg(
@@ -93,12 +97,12 @@ def ablation(judged: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.select(
-        "doc_id",
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "row.doc_id",
         *(F.col(f"ledger.{m}").alias(m) for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
         (F.col("ledger.fail_bits").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"),
         passes().alias("kept"),
+        F.col("ledger.fail_bits").alias("fail_bits"),
     )
 
 
@@ -127,6 +131,8 @@ m AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > n_words
-    OR 100 * n_dup_lines > 30 * n_lines OR word_chars > 15 * n_words) AS kept
+    OR 100 * n_dup_lines > 30 * n_lines OR word_chars > 15 * n_words) AS kept,
+  CAST(CAST(n_words < 50 AS INT) + 2 * CAST(100 * n_repeat_words > 50 * n_words AS INT) + 4 * CAST(10 * n_symbols > n_words AS INT)
+    + 8 * CAST(100 * n_dup_lines > 30 * n_lines AS INT) + 16 * CAST(word_chars > 15 * n_words AS INT) AS BIGINT) AS fail_bits
 FROM m"""
 }

@@ -7,6 +7,8 @@ appended within one task, so the text moves once and ids go straight to their fi
 An index part holds the keys that fall to it by hash.  Its minimal perfect hash is a cascade of bit arrays: a key is
 settled at the first level where no other key shares its bit, and its slot is the number of bits set before.
 A slot stores a fingerprint, the shard, the place in it and the number of ids: a lookup costs the few levels and one read.
+A document's key is its id, whether it has none, and its number among rows of that id; those whose 64-bit keys are equal are
+kept apart, whole.
 Part and shard counts follow the size of the data.
 
 Files carry their name only when whole, and the same task writes the same bytes, so a lost executor's work is done again.
@@ -38,7 +40,8 @@ HEAD = struct.Struct("<8sII")
 GAMMA = 2.0
 #: Characters that are encoded at once.
 AT_ONCE = 2 << 20
-NULL_KEY = -(1 << 63)
+#: Levels after which distinct keys would have met by chance less often than a machine fails.
+MOST_LEVELS = 200
 
 
 @lru_cache(maxsize=2)
@@ -112,6 +115,8 @@ class PerfectHash:
     def built(keys: np.ndarray) -> PerfectHash:
         levels, left = [], keys
         while len(left):
+            if len(levels) == MOST_LEVELS:
+                raise ValueError("equal keys have no perfect hash")
             size = max(64, int(GAMMA * len(left)) // 64 * 64 + 64)
             spot = _spot(left, len(levels), size)
             count = np.bincount(spot, minlength=size)
@@ -140,12 +145,15 @@ def _spot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
     return (mix(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(size)).astype(np.int64)
 
 
-def key_hash(doc_id: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """One-to-one for the first row of a doc_id."""
-    return mix(mix(doc_id.astype(np.int64).view(np.uint64)) + number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def key_hash(doc_id: np.ndarray, absent: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """One-to-one for the first row of a doc_id that isn't null."""
+    return mix(mix(doc_id.astype(np.int64).view(np.uint64)) + number.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + absent.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
 
 
-ENTRY = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("place", "<u8"), ("n", "<u4")])
+_PLACE = [("shard", "<u4"), ("place", "<u8"), ("n", "<u8")]
+ENTRY = np.dtype([("fingerprint", "<u4"), *_PLACE])
+#: What an index part keeps of keys that share their hash.
+APART = np.dtype([("doc_id", "<i8"), ("absent", "<u4"), ("number", "<u4"), *_PLACE])
 
 
 def _fingerprint(keys: np.ndarray) -> np.ndarray:
@@ -169,56 +177,72 @@ def _index(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.Record
 
 
 def _index_file(folder: str, part: int, rows: pa.Table) -> pa.RecordBatch:
-    doc_id, number, shard, place, n = (rows.column(c).to_numpy() for c in ("doc_id", "number", "shard", "place", "n_tokens"))
-    keys = key_hash(doc_id, number)
+    named = {c: rows.column(c).to_numpy() for c in ("doc_id", "absent", "number", "shard", "place", "n_tokens")}
+    named["n"] = named.pop("n_tokens")
+    keys = key_hash(named["doc_id"], named["absent"], named["number"])
+    _, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+    alone = times[which] == 1
+    apart = np.zeros(int((~alone).sum()), APART)
+    for name in APART.names:
+        apart[name] = named[name][~alone]
+    keys = keys[alone]
     mph = PerfectHash.built(keys)
     entries, at = np.zeros(len(keys), ENTRY), mph.slots(keys)
-    for name, value in (("fingerprint", _fingerprint(keys)), ("shard", shard), ("place", place), ("n", n)):
-        entries[name][at] = value
+    entries["fingerprint"][at] = _fingerprint(keys)
+    for name, _ in _PLACE:
+        entries[name][at] = named[name][alone]
     with whole(f"{folder}/{part:06d}.mph") as out:
-        out.write(HEAD.pack(INDEX_FORMAT, VERSION, len(mph.levels)) + struct.pack("<Q", len(keys)))
+        out.write(HEAD.pack(INDEX_FORMAT, VERSION, len(mph.levels)) + struct.pack("<QQ", len(keys), len(apart)))
         for size, bits in mph.levels:
             out.write(struct.pack("<Q", size) + bits.tobytes())
-        out.write(entries.tobytes())
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(keys)], pa.int64())], ["part", "n"])
+        out.write(entries.tobytes() + apart.tobytes())
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(alone)], pa.int64())], ["part", "n"])
 
 
 class IndexPart:
-    """An index part, opened: lookup(doc_ids, numbers) gives its entries and which were found."""
+    """An index part, opened: lookup(doc_ids, absent, numbers) gives its entries and which were found."""
 
     def __init__(self, uri: str):
         data = content(uri)
         name, version, n_levels = HEAD.unpack_from(data)
         if (name, version) != (INDEX_FORMAT, VERSION):
             raise ValueError(f"{uri} is no index part")
-        (n,), at, levels = struct.unpack_from("<Q", data, HEAD.size), HEAD.size + 8, []
+        (n, n_apart), at, levels = struct.unpack_from("<QQ", data, HEAD.size), HEAD.size + 16, []
         for _ in range(n_levels):
             (size,) = struct.unpack_from("<Q", data, at)
             levels.append((size, np.frombuffer(data, np.uint8, size // 8, at + 8)))
             at += 8 + size // 8
         self.mph, self.entries = PerfectHash(levels), np.frombuffer(data, ENTRY, n, at)
+        self.apart = np.frombuffer(data, APART, n_apart, at + n * ENTRY.itemsize)
 
-    def lookup(self, doc_id: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = key_hash(doc_id, number)
+    def lookup(self, doc_id: np.ndarray, absent: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = key_hash(doc_id, absent, number)
         slot = self.mph.slots(keys)
         found = self.entries[np.maximum(slot, 0)] if len(self.entries) else np.zeros(len(keys), ENTRY)
-        return found, (slot >= 0) & (found["fingerprint"] == _fingerprint(keys))
+        ok = (slot >= 0) & (found["fingerprint"] == _fingerprint(keys))
+        for row in self.apart:
+            mine = (doc_id == row["doc_id"]) & (absent == row["absent"]) & (number == row["number"])
+            for name, _ in _PLACE:
+                found[name][mine] = row[name]
+            ok |= mine
+        return found, ok
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, number, part) of one task may be of several parts; each is opened when its rows come."""
+    """Rows (doc_id, absent, number, part) of one task may be of several parts; each is opened when its rows come."""
     part, index = None, None
     for batch in batches:
-        keys, number, parts = (batch.column(i).to_numpy() for i in range(3))
+        keys, absent, number, parts = (batch.column(i).to_numpy() for i in range(4))
         for p in np.unique(parts):
             if p != part:
                 part, index = p, IndexPart(f"{folder}/{p:06d}.mph")
             mine = parts == p
-            found, ok = index.lookup(keys[mine], number[mine])
+            found, ok = index.lookup(keys[mine], absent[mine], number[mine])
             if not ok.all():
                 raise ValueError(f"index part {p} lacks {int((~ok).sum())} keys")
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[mine]), pa.array(found["shard"].astype(np.int32)), pa.array(found["place"].astype(np.int64)), pa.array(found["n"].astype(np.int64))], ["key", "shard", "place", "n_tokens"]
+                [pa.array(keys[mine], mask=absent[mine] > 0), pa.array(found["shard"].astype(np.int32)), pa.array(found["place"].astype(np.int64)), pa.array(found["n"].astype(np.int64))],
+                ["key", "shard", "place", "n_tokens"],
             )
 
 
@@ -226,9 +250,9 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
     """Reads each document's ids at its place in its shard."""
     shard, file, wide = None, None, 0
     for batch in batches:
-        keys, shards, place, n = (batch.column(i).to_numpy() for i in range(4))
-        crc = np.empty(len(keys), np.int64)
-        for i in range(len(keys)):
+        shards, place, n = (batch.column(i).to_numpy() for i in range(1, 4))
+        crc = np.empty(batch.num_rows, np.int64)
+        for i in range(batch.num_rows):
             if shards[i] != shard:
                 if file is not None:
                     file.close()
@@ -241,11 +265,13 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
             if len(data) != n[i] * wide:
                 raise ValueError(f"shard {shard} ends early")
             crc[i] = zlib.crc32(np.frombuffer(data, f"<u{wide}").astype("<u4").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(shards), pa.array(place), pa.array(n), pa.array(crc)], ["key", "shard", "place", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shards), pa.array(place), pa.array(n), pa.array(crc)], ["key", "shard", "place", "n_tokens", "ids_crc32"])
 
 
-def part_of(parts: int):
-    return F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(NULL_KEY)), "number"), F.lit(parts)).cast("int")
+def keyed(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows with a doc_id that is never null, whether it was, and the index part of the key."""
+    part = F.pmod(F.xxhash64("doc_id", "number"), F.lit(parts)).cast("int")
+    return rows.withColumns({"part": part, "absent": F.col("doc_id").isNull().cast("int"), "doc_id": F.coalesce("doc_id", F.lit(0).cast("long"))})
 
 
 def write(docs: DataFrame, text: str = "text", tokenizer: str | None = None, end_id: int = 2) -> tuple[str, DataFrame]:
@@ -258,8 +284,7 @@ def write(docs: DataFrame, text: str = "text", tokenizer: str | None = None, end
     dealt = rows.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     places = written(dealt.mapInArrow(lambda b: _encoded(b, folder, path, end_id, wide), "doc_id long, number int, shard int, place long, n_tokens long"))
     parts = partitions(spark)
-    keyed = places.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_KEY))).withColumn("part", part_of(parts))
-    by_part = keyed.repartition(parts, "part").sortWithinPartitions("part").select("part", "doc_id", "number", "shard", "place", "n_tokens")
+    by_part = keyed(places, parts).repartition(parts, "part").sortWithinPartitions("part").select("part", "doc_id", "absent", "number", "shard", "place", "n_tokens")
     written(by_part.mapInArrow(lambda b: _index(b, folder), "part int, n long"))
     return folder, places
 
@@ -268,12 +293,12 @@ def read(folder: str, keys: DataFrame) -> DataFrame:
     """(doc_id, shard, place, n_tokens, ids_crc32) of the rows (doc_id, number) through the index and the shards."""
     spark = keys.sparkSession
     parts = partitions(spark)
-    rows = keys.select(F.coalesce("doc_id", F.lit(NULL_KEY)).alias("doc_id"), "number").withColumn("part", part_of(parts))
+    rows = keyed(keys.select("doc_id", "number"), parts).select("doc_id", "absent", "number", "part")
     rows = rows.repartition(parts, "part").sortWithinPartitions("part")
     places = rows.mapInArrow(lambda b: _looked_up(b, folder), "key long, shard int, place long, n_tokens long")
     places = places.repartition(parts, "shard").sortWithinPartitions("shard", "place")
     got = places.mapInArrow(lambda b: _read(b, folder), "key long, shard int, place long, n_tokens long, ids_crc32 long")
-    return got.select(F.nullif("key", F.lit(NULL_KEY)).alias("doc_id"), "shard", "place", "n_tokens", "ids_crc32")
+    return got.select(F.col("key").alias("doc_id"), "shard", "place", "n_tokens", "ids_crc32")
 
 
 def token_output(docs: DataFrame, text: str = "text", tokenizer: str | None = None, end_id: int = 2) -> DataFrame:

@@ -5,11 +5,13 @@ reader holds a record: the writer streams chunks into the archive, the reader st
 Each chunk carries the number of bytes and the digest of the payload so far; the last chunk's are the record's.
 
 Records with equal payloads: the one with the smallest page_id is the response, the others are revisits that name it.
-Digests are counted by (digest, smallest id) before anything is shuffled by them, and the join back is one that adaptive execution
-splits, so a payload that a third of the pages share is no hot spot.  Archives are gzip members, one a record.
+Responses are written first; a record's id holds its archive and place, so no two share one, and revisits, which have no
+payload, are written when the ids that they refer to are known.  Digests are counted by (digest, smallest id) before
+anything is shuffled by them, and the join back is one that adaptive execution splits, so a payload that a third of the pages
+share is no hot spot.  Archives are gzip members, one a record.
 
 Nulls: a null html is an empty payload; a null page_id is never the one referred to while another has the payload.  A null url is written
-empty.  Repeated rows: each gives a record, and all with the smallest page_id are responses.  Extra columns are not
+empty.  Repeated rows: each gives a record, and all with the smallest page_id are responses, of which revisits name one.  Extra columns are not
 read.  An empty table gives no archive.
 """
 
@@ -41,22 +43,26 @@ def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def head(page_id: int | None, row: int, url: str | None, n_bytes: int, digest: str, refers_to: int | None, kind: str) -> bytes:
+def record_id(page_id: int | None, archive: str, place: int) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{archive}:{place}>"
+
+
+def head(record: str, url: str | None, n_bytes: int, digest: str, refers_to: str | None) -> bytes:
     """The WARC and HTTP heads of a record; what follows is the payload of a response, and nothing for a revisit."""
     http = HTTP % n_bytes
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}:{row}>",
+        f"WARC-Type: {'revisit' if refers_to else 'response'}",
+        f"WARC-Record-ID: {record}",
         f"WARC-Target-URI: {''.join((url or '').splitlines())}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {n_bytes}",
         "Content-Type: application/http; msgtype=response",
-        f"Content-Length: {len(http) + (n_bytes if kind == 'response' else 0)}",
+        f"Content-Length: {len(http) + (0 if refers_to else n_bytes)}",
     ]
-    if kind == "revisit":
-        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}:0>"]
+    if refers_to:
+        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {refers_to}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
@@ -68,54 +74,82 @@ def decided(pages: DataFrame, least_bytes: int = 0, html: str = "html") -> DataF
     rows = rows.withColumns({"n_bytes": F.octet_length("payload").cast("long"), "digest": F.unhex(F.sha1("payload"))})
     keys = rows.select("page_id", "n_bytes", "digest")
     first = keys.where(F.col("n_bytes") >= least_bytes).groupBy("digest", "n_bytes").agg(F.count("*").alias("n"), F.min("page_id").alias("least")).where("n > 1").drop("n")
+    first = written(first)
     held = rows.alias("r").join(first.alias("f"), ["digest", "n_bytes"], "left")
     again = F.col("least").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("least")))
     return held.withColumns({"kind": F.when(again, "revisit").otherwise("response"), "refers_to": F.when(again, F.col("least"))})
 
 
 def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """A row for each chunk: a revisit and an empty payload have one, without bytes."""
-    body = F.when(F.col("kind") == "revisit", F.lit(0)).otherwise(F.col("n_bytes"))
-    last = F.greatest(F.ceil(body / chunk) - 1, F.lit(0)).cast("int")
+    """A row for each chunk of the payloads; an empty one has one, without bytes."""
+    last = F.greatest(F.ceil(F.col("n_bytes") / chunk) - 1, F.lit(0)).cast("int")
     rows = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
-    data = F.when(body > 0, F.expr(f"substring(payload, chunk * {chunk} + 1, {chunk})")).otherwise(F.lit(b""))
-    return rows.select("page_id", "url", "n_bytes", "digest", "kind", "refers_to", "chunk", data.alias("data"))
+    return rows.select("page_id", "url", "n_bytes", "digest", "chunk", F.expr(f"substring(payload, chunk * {chunk} + 1, {chunk})").alias("data"))
+
+
+PLACES = "archive string, page_id long, digest binary, place long"
 
 
-def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
-    """Streams the chunk rows of a task, each record's in order, to one archive."""
+def _placed(archive: str, held: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([archive] * len(held), pa.string()), pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.binary()), pa.array([h[2] for h in held], pa.int64())], ["archive", "page_id", "digest", "place"])
+
+
+def _responses(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Streams the chunk rows of a task, each record's in order, to one archive; says where each record is."""
     from pyspark import TaskContext
 
-    name, rows = f"{TaskContext.get().partitionId():06d}.warc.gz", _chunk_rows(batches)
+    archive, rows = f"{TaskContext.get().partitionId():06d}", _rows(batches)
     row = next(rows, None)
     if row is None:
         return
-    n = 0
-    with whole(f"{folder}/{name}") as out:
+    held, place = [], 0
+    with whole(f"{folder}/{archive}.warc.gz") as out:
         while row is not None:
-            page_id, url, n_bytes, digest, kind, refers_to, _, data = row
+            page_id, url, n_bytes, digest, _, data = row
             pack, sha, size = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), hashlib.sha1(), 0
-            out.write(pack.compress(head(page_id, n, url, n_bytes, base32(digest), refers_to, kind)))
+            out.write(pack.compress(head(record_id(page_id, archive, place), url, n_bytes, base32(digest), None)))
             while True:
                 out.write(pack.compress(data))
                 sha.update(data)
                 size += len(data)
                 row = next(rows, None)
-                if row is None or row[6] == 0:
+                if row is None or row[4] == 0:
                     break
-                data = row[7]
-            if kind == "response" and (size != n_bytes or sha.digest() != digest):
+                data = row[5]
+            if size != n_bytes or sha.digest() != digest:
                 raise ValueError(f"page {page_id}: chunks don't add up to the payload")
             out.write(pack.compress(b"\r\n\r\n") + pack.flush())
-            n += 1
-    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], ["archive", "n_records"])
+            held.append((page_id, digest, place))
+            place += 1
+            if len(held) == 10_000:
+                yield _placed(archive, held)
+                held = []
+    yield _placed(archive, held)
+
+
+def _revisits(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    """Writes the heads of a task's revisits to one archive."""
+    from pyspark import TaskContext
+
+    archive, rows = f"r{TaskContext.get().partitionId():06d}", _rows(batches)
+    row = next(rows, None)
+    if row is None:
+        return
+    place = 0
+    with whole(f"{folder}/{archive}.warc.gz") as out:
+        while row is not None:
+            page_id, url, n_bytes, digest, least, at, its_place = row
+            pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+            out.write(pack.compress(head(record_id(page_id, archive, place), url, n_bytes, base32(digest), record_id(least, at, its_place)) + b"\r\n\r\n") + pack.flush())
+            place += 1
+            row = next(rows, None)
+    yield _placed(archive, [(None, None, place - 1)])
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        columns = [batch.column(i) for i in range(8)]
         for i in range(batch.num_rows):
-            yield tuple(c[i].as_py() for c in columns)
+            yield tuple(c[i].as_py() for c in batch.columns)
 
 
 class Stream:
@@ -202,7 +236,7 @@ def records(file, chunk: int = CHUNK) -> Iterator[tuple]:
 
 
 def _page(urn: str) -> int | None:
-    number = urn.removeprefix("<urn:page:").rpartition(":")[0]
+    number = urn.removeprefix("<urn:page:").partition(":")[0]
     return int(number) if number else None
 
 
@@ -215,7 +249,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, with_data: bool) -> It
 
     for batch in batches:
         for name in batch.column(0).to_pylist():
-            with opened(f"{folder}/{name}") as file:
+            with opened(f"{folder}/{name}.warc.gz") as file:
                 for row in records(file):
                     held.append(row if with_data else (*row[:7], None))
                     size += len(row[7]) if with_data else 100
@@ -231,8 +265,14 @@ def write(pages: DataFrame, least_bytes: int = 0, html: str = "html") -> tuple[s
     spark = pages.sparkSession
     folder = shared_dir(spark)
     make_folder(folder)
-    rows = chunked(decided(pages, least_bytes, html))
-    return folder, written(rows.mapInArrow(lambda b: _written(b, folder), "archive string, n_records long"))
+    rows = decided(pages, least_bytes, html)
+    placed = written(chunked(rows.where("kind = 'response'")).mapInArrow(lambda b: _responses(b, folder), PLACES))
+    again = rows.where("kind = 'revisit'").select("page_id", "url", "n_bytes", "digest", "refers_to")
+    named = again.select(F.col("refers_to").alias("of"), F.col("digest").alias("of_digest")).distinct()
+    targets = placed.join(named, F.expr("page_id = of AND digest = of_digest")).groupBy("of", "of_digest").agg(F.min(F.struct("archive", "place")).alias("at"))
+    heads = again.join(targets, F.expr("refers_to = of AND digest = of_digest")).select("page_id", "url", "n_bytes", "digest", "refers_to", "at.archive", "at.place")
+    others = written(heads.mapInArrow(lambda b: _revisits(b, folder), PLACES))
+    return folder, written(placed.union(others).groupBy("archive").agg((F.max("place") + 1).alias("n_records")))
 
 
 def read(spark: SparkSession, folder: str, archives: DataFrame, with_data: bool = True) -> DataFrame:

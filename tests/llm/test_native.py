@@ -25,10 +25,10 @@ def test_no_python_in_the_plan(spark, name):
 
 
 def test_quality_of_odd_rows(odd_documents):
-    rows = quality.ledger(odd_documents.drop("ledger")).collect()
-    assert len(rows) == 12
+    rows = quality.judged(odd_documents).collect()
+    assert len(rows) == 12 and all(r.row.ledger == "clash" for r in rows)
     for r in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        w = re.findall(r"[^\x20\x09-\x0D]+", r.row.text or "")
         assert r.ledger.n_words == len(w) and r.ledger.word_chars == sum(map(len, w))
         g = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
         hit = {p for i in range(len(w) - 2) if g[tuple(w[i : i + 3])] > 1 for p in (i, i + 1, i + 2)}
@@ -37,12 +37,12 @@ def test_quality_of_odd_rows(odd_documents):
 
 
 def test_ablation_adds_up(odd_documents, no_documents):
-    judged = quality.ledger(odd_documents.drop("ledger"))
+    judged = quality.judged(odd_documents)
     got = {r.rule: (r.n_failed, r.n_failed_alone) for r in quality.ablation(judged).collect()}
     bits = [r.ledger.fail_bits for r in judged.collect()]
     for rule, bit in quality.BIT.items():
         assert got[rule] == (sum(bool(b & bit) for b in bits), sum(b == bit for b in bits))
-    assert quality.ledger(no_documents).count() == 0
+    assert quality.judged(no_documents).count() == 0
 
 
 def test_line_dedup_of_odd_rows(odd_documents, no_documents):

@@ -1,6 +1,7 @@
 """The other operators against brute force, on the small tables and on odd rows."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -8,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from extentlake.llm import decontaminate, jaccard_join, language, licences, pii, token_store, warc
@@ -197,6 +199,8 @@ def test_index_knows_what_it_lacks():
     stored[mph.slots(keys)] = prints
     assert ((slot >= 0) & (stored[np.maximum(slot, 0)] == token_store._fingerprint(other))).sum() <= 1
     assert len(token_store.PerfectHash.built(np.zeros(0, np.uint64)).levels) == 0
+    with pytest.raises(ValueError):
+        token_store.PerfectHash.built(np.array([5, 5], np.uint64))
 
 
 def test_warc_round_trip(spark):
@@ -213,6 +217,16 @@ def test_warc_round_trip(spark):
     assert Counter((r.page_id, r.bytes_so_far, r.digest_so_far, r.record_type, r.refers_to) for r in got) == want
     parts = warc.chunked(warc.decided(pages), 1000).where("page_id = 9").orderBy("chunk").collect()
     assert {len(p.data) for p in parts[:-2]} == {1000}
+    assert archives.agg({"n_records": "sum"}).first()[0] == len(rows)
+    ids, named = [], []
+    for name in [r.archive for r in archives.collect()]:
+        with gzip.open(f"{folder.removeprefix('file://')}/{name}.warc.gz") as f:
+            for line in f.read().split(b"\r\n"):
+                if line.startswith(b"WARC-Record-ID: "):
+                    ids.append(line[16:])
+                elif line.startswith(b"WARC-Refers-To: "):
+                    named.append(line[16:])
+    assert len(ids) == len(set(ids)) == len(rows) and len(named) == 4 and set(named) < set(ids)
     assert warc.write(pages.limit(0))[1].count() == 0
 
 
@@ -296,3 +310,18 @@ def test_licences(spark, odd_documents, no_documents):
     odd = licences.scanned(odd_documents).collect()
     assert len(odd) == 12 and not any(r.n_licences for r in odd)
     assert licences.scanned(no_documents).count() == 0
+
+
+def test_index_tells_a_null_id_from_every_id_and_equal_hashes_apart(spark, monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    ids = [None, None, 0, -(1 << 63), (1 << 63) - 1, 0, 7]
+    docs = spark.createDataFrame([(d, "word " * i) for i, d in enumerate(ids)], "doc_id long, text string")
+    assert Counter(r.doc_id for r in token_store.token_output(docs).collect()) == Counter(ids)
+    rows = pa.table({"doc_id": [1, 2, 3], "absent": [0, 0, 1], "number": [0, 0, 0], "shard": [4, 5, 6], "place": [7, 8, 9], "n_tokens": [1, 2, 3]})
+    monkeypatch.setattr(token_store, "key_hash", lambda d, a, n: np.minimum(d, 2).astype(np.uint64))  # 2 and 3 share a key
+    folder = token_store.shared_dir(spark)
+    token_store.make_folder(folder)
+    token_store._index_file(folder, 0, rows)
+    part = token_store.IndexPart(f"{folder}/000000.mph")
+    found, ok = part.lookup(np.array([1, 2, 3]), np.array([0, 0, 1]), np.array([0, 0, 0]))
+    assert ok.all() and found["shard"].tolist() == [4, 5, 6] and found["n"].tolist() == [1, 2, 3]
