@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from extentlake.llm import decontaminate, jaccard_join, language, licences, pii, token_store, warc
 
@@ -124,10 +125,10 @@ def test_language_model_keeps_every_gram(spark, monkeypatch):
     word = lambda letters: "".join(rnd.choices(letters, k=6))
     rows = [(i, " ".join(word("abcdefgh") for _ in range(20)) * 3, "large") for i in range(60)] + [(60, " ".join(word("stuvwxyz") for _ in range(5)), "small")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    models, _ = language.trained(docs)
+    models, _, _ = language.trained(docs)
     assert models.langs == ["large", "small"]
     grams = {(w + chr(language.END))[max(0, i - 3) : i + 1].rjust(4, chr(language.START)) for _, t, _ in rows for w in t.split() for i in range(len(w) + 1)}
-    assert len(models.keys[-1]) == len(grams)
+    assert len(models.grams[-1].key) == len(grams)
 
 
 def brute_hits(docs, items):
@@ -226,7 +227,7 @@ def test_warc_round_trip(spark):
                     ids.append(line[16:])
                 elif line.startswith(b"WARC-Refers-To: "):
                     named.append(line[16:])
-    assert len(ids) == len(set(ids)) == len(rows) and len(named) == 4 and set(named) < set(ids)
+    assert len(ids) == len(set(ids)) == len(rows) and len(named) == 3 and set(named) < set(ids)
     assert warc.write(pages.limit(0))[1].count() == 0
 
 
@@ -245,15 +246,65 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_language_of_odd_rows(odd_documents, no_documents):
-    models, weights = language.trained(odd_documents, calibration=odd_documents)
-    got = language.identified(odd_documents, models, weights).collect()
+    models, weights, least = language.trained(odd_documents, apart=F.col("doc_id") % 2 == 0)
+    got = language.identified(odd_documents, models, weights, least).collect()
     assert len(got) == 12 and {r.lang_pred for r in got if r.doc_id in (2, 3, 4)} == {"und"}
-    assert all(r.score == 0 for r in got if r.lang_pred == "und")
-    strict = language.identified(odd_documents, models, weights, reject=1.1).collect()
-    assert {r.lang_pred for r in strict} == {"und"}
-    models, weights = language.trained(no_documents, calibration=no_documents)
-    assert {r.lang_pred for r in language.identified(odd_documents, models, weights).collect()} == {"und"}
-    assert language.identified(no_documents, models, weights).count() == 0
+    assert all(r.score == 0 and r.rejected for r in got if r.lang_pred == "und")
+    strict = language.identified(odd_documents, models, weights, 1.1).collect()
+    assert all(r.rejected for r in strict) and {r.lang_pred for r in strict} == {r.lang_pred for r in got}
+    models, weights, least = language.trained(no_documents, apart=F.lit(True))
+    assert {r.lang_pred for r in language.identified(odd_documents, models, weights, least).collect()} == {"und"}
+    assert language.identified(no_documents, models, weights, least).count() == 0
+
+
+def brute_kneser_ney(words, order, floor):
+    """p(symbol | context) of one language by the recursive definition, from plain counters."""
+    counts = [Counter() for _ in range(order + 1)]
+    for w in words:
+        s = chr(language.START) * (order - 1) + w + chr(language.END)
+        counts[order].update(s[i : i + order] for i in range(len(s) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k].update(g[1:] for g in counts[k + 1])
+
+    def p(gram):
+        if not gram:
+            return floor
+        k = len(gram)
+        own = {g: n for g, n in counts[k].items() if g[:-1] == gram[:-1]}
+        ones, twos = (sum(n == x for n in counts[k].values()) for x in (1, 2))
+        d = min(0.9, max(0.1, ones / max(ones + 2 * twos, 1)))
+        if not own:
+            return p(gram[1:])
+        total = sum(own.values())
+        return max(own.get(gram, 0) - d, 0) / total + d * len(own) / total * p(gram[1:])
+
+    return p
+
+
+def test_language_models_equal_the_definition(spark):
+    rnd = random.Random(6)
+    words = {"a": ["".join(rnd.choices("abcde", k=rnd.randint(1, 5))) for _ in range(60)], "b": ["".join(rnd.choices("cdefü", k=rnd.randint(1, 6))) for _ in range(40)]}
+    docs = spark.createDataFrame([(i, " ".join(w[i::3]).upper(), lang) for lang, w in words.items() for i in range(3)], "doc_id long, text string, lang string")
+    models, _, _ = language.trained(docs)
+    floor = 1 / (len(set("abcdefü")) + 2)  # letters, the end, and what was never seen
+    for text in ("abc cdü zeb e", "ü", "edcba xyz"):
+        got, symbols = models.entropies(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+        for j, lang in enumerate(models.langs):
+            p, want, n = brute_kneser_ney(words[lang], 4, floor), 0.0, 0
+            for w in text.split():
+                s = chr(language.START) * 3 + w + chr(language.END)
+                want -= sum(np.log(p(s[i : i + 4])) for i in range(len(s) - 3))
+                n += len(s) - 3
+            assert symbols[0] == n and abs(got[0, j] - want / n) < 1e-4
+
+
+def test_rejection_keeps_the_precision_it_names():
+    rnd = np.random.default_rng(3)
+    score = rnd.random(5000)
+    right = (rnd.random(5000) < 0.5 + score / 2).astype(float)
+    least = language.threshold(score, right)
+    assert right[score >= least].mean() >= language.PRECISION and 0 < least < 1
+    assert language.threshold(score, np.ones(5000)) == score.min()
 
 
 def test_language_probabilities_add_up():
