@@ -20,7 +20,7 @@ from .kernel import mix, run_hashes
 
 LETTER, NUMBER, SPACE, OTHER, ODD = range(5)
 #: Pieces whose ids a worker keeps before it starts anew.
-KEEP = 2 << 20
+KEEP = 1 << 20
 
 
 #: Byte-level models show a byte that is no printable Latin-1 character as the next free character from 256 on.

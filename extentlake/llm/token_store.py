@@ -39,7 +39,7 @@ HEAD = struct.Struct("<8sII")
 #: Bits for a key at each level of the index.
 GAMMA = 2.0
 #: Characters that are encoded at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 19
 #: Levels after which distinct keys would have met by chance less often than a machine fails.
 MOST_LEVELS = 200
 
