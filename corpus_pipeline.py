@@ -2,7 +2,11 @@
 benchmark, mixed to the sources' weights, and written as token ids.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps with the columns of documents; the last returns a row for each document
-written.  Rows that repeat a doc_id are one document to the filters: they stay or go alike.
+written.  Rows that repeat a doc_id are one document to the filters after the first: they stay or go alike.
+
+Nulls: a null or empty text fails the quality rules, so it goes in the first stage; alone, the other stages keep it, the last as
+its end id.  A null doc_id is an id like others.  A null source is a source.  Ties: the smallest doc_id of a group stays, all rows of it.
+Extra columns are kept, whatever their names, but by the last stage.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +28,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return quality.ledger(rows).where(quality.passes()).select("row.*")
+    return quality.judged(docs).where(quality.passes()).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mixed(mixing.sized(docs)).where("mix.copies > 0")
+    taken = mixing.mixed(written(mixing.sized(docs))).where("mix.copies > 0")  # a table, so that words are counted once
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int")))).select("row.*")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,15 +17,18 @@ def neighbours(edge: DataFrame, node: int, direction: str = "out", after: tuple[
     return mine.orderBy("segment", "cluster", "logical_offset").limit(limit)
 
 
-def reachable(links: DataFrame, seeds: DataFrame, depth: int, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def reachable(links: DataFrame, seeds: DataFrame, depth: int | None = None, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, depth) of all nodes within so many steps of the seeds over links (source, target), each at its least depth.
 
-    Each round joins the frontier alone with the links and drops what was seen before.
+    Each round joins the frontier alone with the links and drops what was seen before.  Without a depth, which needs a cut, it goes
+    on until nothing is new.
     """
+    if depth is None and cut is None:
+        raise ValueError("INVALID_ARGUMENT: a walk to the end needs a cut")
     seen = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     steps = links.select("source", "target").distinct()
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         new = frontier.join(steps, frontier["node"] == steps["source"]).select(F.col("target").alias("node")).distinct()
         frontier = new.join(seen, "node", "left_anti").withColumn("depth", F.lit(d))
         if cut:  # without it a plan doubles each round: for a few rounds only
@@ -66,40 +70,48 @@ def walk(links: DataFrame, seed: int, max_nodes: int = 1000, max_links: int = 10
     return {"nodes": [(n, depth[n]) for n in order], "links": taken, "truncated": truncated}
 
 
-def closure(edges: DataFrame, child: str, parent: str, most: int = 64, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def closure(edges: DataFrame, child: str, parent: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, ancestor, distance) of a parent relation, itself at 0; a pair comes at its least distance, so cycles end.
 
-    Distances double each round.  Stops when a round adds nothing.
+    Distances double each round; the rounds stop when one adds nothing.  cut: what writes a round's rows.
     """
-    up = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("ancestor IS NOT NULL").distinct()
-    nodes = up.select("node").union(up.select("ancestor")).distinct()
-    reach = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("distance")).union(up.where("node != ancestor").withColumn("distance", F.lit(1).cast("long")))
-    span, size = 1, -1
-    while span < most:
+    up = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")).where("node IS NOT NULL AND ancestor IS NOT NULL").distinct()
+    nodes = edges.select(F.col(child).alias("node")).union(up.select("ancestor")).where("node IS NOT NULL").distinct()
+    reach = cut(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("distance")).union(up.where("node != ancestor").withColumn("distance", F.lit(1).cast("long"))))
+    size, new = -1, reach.count()
+    while new != size:
         a, b = reach.toDF("node", "via", "d1"), reach.toDF("via", "ancestor", "d2")
-        reach = a.join(b, "via").groupBy("node", "ancestor").agg(F.min(F.col("d1") + F.col("d2")).alias("distance"))
-        reach = cut(reach) if cut else reach
-        span *= 2
-        new = reach.count()
-        if new == size:
-            break
-        size = new
+        reach = cut(a.join(b, "via").groupBy("node", "ancestor").agg(F.min(F.col("d1") + F.col("d2")).alias("distance")))
+        size, new = new, reach.count()
     return reach
 
 
-def paths(edges: DataFrame, child: str, parent: str, label: str, most: int = 16) -> DataFrame:
-    """(node, path, status): labels from the root down; MISSING_PARENT or CYCLE where the chain doesn't reach a root."""
-    own = edges.select(F.col(child).alias("node"), F.col(parent).alias("up"), F.col(label).alias("label"))
-    known = own.select(F.col("node").alias("k_node"), F.col("up").alias("k_up"), F.col("label").alias("k_label"))
-    state = own.select("node", F.col("label").alias("path"), "up", F.lit("OPEN").alias("status"))
-    for _ in range(most):
-        state = state.join(known, state["up"] == known["k_node"], "left").select(
-            "node",
-            F.when(F.col("k_node").isNotNull(), F.concat_ws("/", "k_label", "path")).otherwise(F.col("path")).alias("path"),
-            F.when(F.col("k_node").isNotNull(), F.col("k_up")).otherwise(F.lit(None)).alias("up"),
-            F.when(F.col("up").isNotNull() & F.col("k_node").isNull(), "MISSING_PARENT").otherwise(F.col("status")).alias("status"),
+def paths(edges: DataFrame, child: str, parent: str, label: str, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, path, status): labels from the root down; MISSING_PARENT with what a chain reached, or CYCLE without a path.
+
+    A node without a parent is a root.  Each round doubles how far a chain has come, so chains of n nodes take log2(n) rounds; first
+    without labels, as what doesn't end within the number of nodes runs in a cycle.  cut: what writes a round's rows.
+    """
+    own = cut(edges.select(F.col(child).alias("node"), F.col(parent).alias("up"), F.col(label).cast("string").alias("path")))
+    state, n, rounds = own.select("node", "up"), own.count(), 0
+    while 1 << rounds <= n and not state.where("up IS NOT NULL").isEmpty():
+        further = state.toDF("k_node", "k_up")
+        state = cut(state.join(further, F.col("up") == F.col("k_node"), "left").select("node", F.col("k_up").alias("up")))
+        rounds += 1
+    endless = state.where("up IS NOT NULL").select("node").distinct()
+    state = own.join(endless, "node", "left_anti").withColumn("lost", F.lit(False))
+    for _ in range(rounds):
+        further = state.toDF("k_node", "k_up", "k_path", "k_lost").withColumn("found", F.lit(True))
+        state = cut(
+            state.join(further, F.col("up") == F.col("k_node"), "left").select(
+                "node",
+                F.col("k_up").alias("up"),
+                F.when(F.col("found"), F.concat_ws("/", "k_path", "path")).otherwise(F.col("path")).alias("path"),
+                (F.col("lost") | F.coalesce("k_lost", F.lit(False)) | (F.col("up").isNotNull() & F.col("found").isNull())).alias("lost"),
+            )
         )
-    return state.select("node", "path", F.when(F.col("up").isNotNull(), "CYCLE").when(F.col("status") == "OPEN", "COMPLETE").otherwise(F.col("status")).alias("status"))
+    cycles = endless.select("node", F.lit(None).cast("string").alias("path"), F.lit("CYCLE").alias("status"))
+    return state.select("node", "path", F.when(F.col("lost"), "MISSING_PARENT").otherwise("COMPLETE").alias("status")).union(cycles)
 
 
 def target_view(bases: DataFrame, located: DataFrame) -> DataFrame:

@@ -45,11 +45,17 @@ def storage_class(targets: DataFrame) -> DataFrame:
     return targets.withColumn("storage", c)
 
 
-def payload(links: DataFrame, seeds: DataFrame, depth: int = 16) -> DataFrame:
-    """(node, depth) that seeds reach over links (source, target, storage), not beyond what ends a walk."""
+def payload(links: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, depth, status) that seeds reach over links (source, target, storage), not beyond what ends a walk.
+
+    The walk goes to its end; where a depth ends it, nodes with links that go on are RESOURCE_BOUND.
+    """
     from ..sources.store import written
 
     ends = links.where(F.col("storage").isin("OTHER_ENTITY", "COLLECTION_MEMBERSHIP_REQUIRES_ADAPTER")).select(F.col("target").alias("end")).distinct()
     through = links.join(ends, links["source"] == ends["end"], "left_anti")
     first = links.join(seeds.select(F.col("node").alias("source")), "source", "left_semi")
-    return reachable(through.select("source", "target").union(first.select("source", "target")), seeds, depth, written)
+    steps = through.select("source", "target").union(first.select("source", "target"))
+    found = reachable(steps, seeds, depth, written)
+    onward = steps.join(found.select(F.col("node").alias("target")), "target", "left_anti").select(F.col("source").alias("node"), F.lit("RESOURCE_BOUND").alias("status")).distinct()
+    return found.join(onward, "node", "left").withColumn("status", F.coalesce("status", F.lit("REACHED")))

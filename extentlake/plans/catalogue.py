@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decode, discovery, links
 from ..operators.graph import closure, paths
+from ..sources.store import written
 from .fixture import Archive
 from .registry import registry
 
@@ -39,8 +40,8 @@ def q84_catalog(a: Archive) -> DataFrame:
     shapes = s.selectExpr("s_suppkey AS id", "CASE s_suppkey % 4 WHEN 0 THEN 'Mesh' WHEN 1 THEN 'Track' ELSE 'Other' END AS type_name")
     ents = s.selectExpr("s_suppkey AS id", "s_name AS name", "CASE WHEN s_suppkey % 10 > 0 THEN s_suppkey END AS shape_id", "concat('g', s_nationkey) AS group_id")
     groups = a.table("nation").where("n_nationkey < 20").selectExpr("concat('g', n_nationkey) AS child", "'root' AS parent").union(spark.createDataFrame([("root", None)], "child string, parent string"))
-    tree = paths(groups.withColumn("label", F.col("child")), "child", "parent", "label", 3)
-    return discovery.catalog(ents, shapes, closure(inherits, "t", "b"), tree).select("id", "render_class", "path", "diagnostic")
+    tree = paths(groups.withColumn("label", F.col("child")), "child", "parent", "label", written)
+    return discovery.catalog(ents, shapes, closure(inherits, "t", "b", written), tree).select("id", "render_class", "path", "diagnostic")
 
 
 @query("""SELECT segment, cluster, logical_offset AS offset, CASE WHEN logical_offset % 7 = 0 THEN 'BINDING_NOT_RECORDED' WHEN width <> 4 THEN 'SOURCE_SLOT_WIDTH_MISMATCH' WHEN logical_offset % 5 = 0 THEN 'SOURCE_SLOT_RAW_MISMATCH' WHEN status = 'NULL' THEN 'NULL_SOURCE_FIELD' WHEN status = 'UNRESOLVED' THEN 'UNRESOLVED_SOURCE_FIELD' ELSE 'PROVEN' END AS reference FROM ptr""")

@@ -47,7 +47,7 @@ def q44_bounds_stats(a: Archive) -> DataFrame:
 
 
 @query("""SELECT id, element, CAST(x AS BIGINT) AS value, hex(part) AS raw_hex FROM (SELECT id, element, part, ascii(decode(part[1:1])) + 256 * ascii(decode(part[2:2])) + 65536 * ascii(decode(part[3:3])) + 16777216 * ascii(decode(part[4:4])) AS x
-FROM (SELECT id, element, encode(substr(t, 4 * element + 1, 4)) AS part FROM (SELECT doc_id AS id, regexp_replace(text, '[^\\x01-\\x7F]', '', 'g') AS t, unnest(range(least(length(regexp_replace(text, '[^\\x01-\\x7F]', '', 'g')) // 4, 20))) AS element FROM documents)))""")
+FROM (SELECT id, element, encode(substr(t, 4 * element + 1, 4)) AS part FROM (SELECT doc_id AS id, regexp_replace(text, '[^\\x01-\\x7F]', '', 'g') AS t, unnest(range(length(regexp_replace(text, '[^\\x01-\\x7F]', '', 'g')) // 4)) AS element FROM documents)))""")
 def q62_typed_words(a: Archive) -> DataFrame:
     t = F.regexp_replace("text", "[^\\x01-\\x7F]", "")
     d = a.table("documents").select(F.col("doc_id").alias("id"), t.cast("binary").alias("data")).where("length(data) >= 4")

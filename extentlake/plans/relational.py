@@ -106,7 +106,7 @@ def q22_tuple_keyset_page(a: Archive) -> DataFrame:
     return paging.after(a.alloc.select("segment", "cluster", "type_name", "size", "id"), ["segment", "cluster", "id"], (1, 2, 100), 50)
 
 
-@query("SELECT id, i AS element_index, logical_offset + array_header_size + i * element_stride AS offset FROM (SELECT *, unnest(range(least(element_count, 40))) AS i FROM alloc WHERE element_count > 0)")
+@query("SELECT id, i AS element_index, logical_offset + array_header_size + i * element_stride AS offset FROM (SELECT *, unnest(range(element_count)) AS i FROM alloc WHERE element_count > 0)")
 def q23_element_expand(a: Archive) -> DataFrame:
     rows = a.alloc.where("element_count > 0").withColumn("element_index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("element_count") - 1)))
     return rows.select("id", "element_index", F.expr("logical_offset + array_header_size + element_index * element_stride").alias("offset"))

@@ -18,8 +18,8 @@ def _cut(df: DataFrame) -> DataFrame:
     return written(df)
 
 
-@query("""SELECT conv_id AS coll_id, CAST(count(*) + (CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS declared, CAST(count(*) FILTER (turn < least(gap, 12)) AS BIGINT) AS observed, CAST(count(*) FILTER (turn < least(gap, 12)) AS BIGINT) AS n_blocks,
-  CASE WHEN count(*) + (CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END) = count(*) FILTER (turn < least(gap, 12)) THEN 'VERIFIED_CARDINALITY' ELSE 'CARDINALITY_MISMATCH' END AS status
+@query("""SELECT conv_id AS coll_id, CAST(count(*) + (CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS declared, CAST(count(*) FILTER (turn < gap) AS BIGINT) AS observed, CAST(count(*) FILTER (turn < gap) AS BIGINT) AS n_blocks,
+  CASE WHEN count(*) + (CASE WHEN conv_id % 5 = 0 THEN 1 ELSE 0 END) = count(*) FILTER (turn < gap) THEN 'VERIFIED_CARDINALITY' ELSE 'CARDINALITY_MISMATCH' END AS status
 FROM (SELECT *, coalesce(min(CASE WHEN turn <> r THEN r END) OVER (PARTITION BY conv_id), 1000000) AS gap FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS r FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL))) GROUP BY conv_id""")
 def q38_list_membership(a: Archive) -> DataFrame:
     """Turns of a conversation as the blocks of a list, each linked to the next turn, from turn 0 on."""
@@ -49,13 +49,14 @@ def q40_array_window(a: Archive) -> DataFrame:
     return membership.array_window(e, "embedding", "entries", "tail").select("coll_id", "status", "slot", "value", "active")
 
 
-_TREE = """SELECT 'r' || r_regionkey AS child, 'world' AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier"""
+_TREE = """SELECT 'r' || r_regionkey AS child, 'world' AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer"""
 
 
 def _tree(a: Archive) -> DataFrame:
     r = a.table("region").selectExpr("concat('r', r_regionkey) AS child", "'world' AS parent")
     n = a.table("nation").selectExpr("concat('n', n_nationkey) AS child", "concat('r', n_regionkey) AS parent")
-    return r.union(n).union(a.table("supplier").selectExpr("concat('s', s_suppkey) AS child", "concat('n', s_nationkey) AS parent"))
+    s = a.table("supplier").selectExpr("concat('s', s_suppkey) AS child", "concat('n', s_nationkey) AS parent")
+    return r.union(n).union(s).union(a.table("customer").selectExpr("concat('c', c_custkey) AS child", "concat('n', c_nationkey) AS parent"))
 
 
 @query(f"""SELECT node, ancestor, min(distance) AS distance FROM (WITH RECURSIVE t AS ({_TREE}), c(node, ancestor, distance) AS (
@@ -67,7 +68,7 @@ def q41_inheritance_closure(a: Archive) -> DataFrame:
 @query(f"""SELECT 's' || s_suppkey AS node, 'world/r' || n_regionkey || '/n' || s_nationkey || '/s' || s_suppkey AS path, 'COMPLETE' AS status FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
 def q68_navigation_paths(a: Archive) -> DataFrame:
     t = _tree(a).union(a.spark.createDataFrame([("world", None)], "child string, parent string"))
-    return graph.paths(t.withColumn("label", F.col("child")), "child", "parent", "label", 5).where("node LIKE 's%'")
+    return graph.paths(t.withColumn("label", F.col("child")), "child", "parent", "label", _cut).where("node LIKE 's%'")
 
 
 @query(f"""SELECT parent, count(*) AS children, count(*) FILTER (parent NOT IN (SELECT child FROM ({_TREE}))) AS orphans FROM ({_TREE}) GROUP BY 1""")

@@ -26,7 +26,11 @@ def _local() -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The frame as a table below spark.checkpoint.dir, where its lineage ends."""
-    top = df.sparkSession.conf.get("spark.checkpoint.dir", None) or _local()
+    top = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not df.sparkSession.sparkContext.master.startswith("local"):
+            raise ValueError("IO_FAILURE: spark.checkpoint.dir must name a folder that all machines share")
+        top = _local()
     path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,6 +2,7 @@ import zlib
 
 import pytest
 
+from extentlake.sources.store import written
 from extentlake.operators import decode, discovery, geometry, graph
 from extentlake.sources import exports
 from extentlake.streaming import windows
@@ -63,10 +64,10 @@ def test_costs_are_bounded(spark):
 
 def test_catalog(spark):
     inherits = spark.createDataFrame([("MySurface", "TriSurface"), ("TriSurface", "Shape"), ("Blob", "Shape")], "t string, b string")
-    ancestors = graph.closure(inherits, "t", "b")
+    ancestors = graph.closure(inherits, "t", "b", written)
     shapes = spark.createDataFrame([(1, "MySurface"), (2, "Blob")], "id long, type_name string")
     ents = spark.createDataFrame([(7, "x", 1, "g"), (8, "y", 2, None), (9, "z", 3, "h"), (10, "w", None, None)], "id long, name string, shape_id long, group_id string")
-    groups = graph.paths(spark.createDataFrame([("r", None), ("g", "r")], "child string, parent string").selectExpr("child", "parent", "child AS label"), "child", "parent", "label", 3)
+    groups = graph.paths(spark.createDataFrame([("r", None), ("g", "r")], "child string, parent string").selectExpr("child", "parent", "child AS label"), "child", "parent", "label", written)
     got = {r.id: (r.render_class, r.path, r.diagnostic) for r in discovery.catalog(ents, shapes, ancestors, groups).collect()}
     assert got[7] == ("triangles", "r/g", "CATALOGUED") and got[8][0] == "unsupported_shape_type"
     assert got[9][2] == "SHAPE_NOT_FOUND" and got[10][2] == "NO_SHAPE"

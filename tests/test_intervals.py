@@ -2,6 +2,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from extentlake.sources.store import written
 from extentlake.operators import graph, intervals, membership, paging
 
 ALLOC = [(1, 1, 0, 16, 1), (1, 1, 16, 36, 2), (1, 1, 64, 32, 3)]
@@ -64,7 +65,7 @@ def test_paths_with_faults(spark):
     t = spark.createDataFrame([("a", None), ("b", "a"), ("c", "x"), ("d", "e"), ("e", "d")], "child string, parent string")
     from pyspark.sql import functions as F
 
-    got = {r.node: (r.path, r.status) for r in graph.paths(t.withColumn("label", F.col("child")), "child", "parent", "label", 4).collect()}
+    got = {r.node: (r.path, r.status) for r in graph.paths(t.withColumn("label", F.col("child")), "child", "parent", "label", written).collect()}
     assert got["b"] == ("a/b", "COMPLETE") and got["c"][1] == "MISSING_PARENT" and got["d"][1] == "CYCLE"
 
 
