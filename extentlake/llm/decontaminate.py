@@ -3,8 +3,10 @@
 Training documents are taken in shards of SHARD_WORDS words.  A shard's suffix array holds its suffixes in the order
 of their first WINDOW words; those that begin with fewer words of the benchmark's vocabulary than its shortest
 window can match nothing and are left out.  Every suffix of every test item is looked up by binary search, all of them
-at once: the range found gives all locations.  Locations that follow one another in an item make its longest match.
-The benchmark goes out in blocks of ITEM_WORDS words, which a task opens one after another, so its size is not bounded.
+at once: the range found gives all locations.  Locations that follow one another in an item make its longest matches, which
+matches() returns with their places; runs shorter than a window are not sought.  Arrays are made of what a task reads and not kept,
+as they leave out what the benchmark at hand can't match.
+The benchmark goes out in blocks of ITEM_WORDS words, so its size is not bounded; a task opens one after another, each once for SHARDS shards.
 
 Nulls: a null or empty text, or one without a word, has no words, no hit and is clean; a null item_id is left out of
 the digest but its windows count as hits.  Repeated rows: each gives a row.  An empty benchmark hits nothing.  Extra
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from .shared import shared_dir, table
 WINDOW = 13
 SHARD_WORDS = 1 << 20
 ITEM_WORDS = 4 << 20
+#: Shards whose words a task holds while it opens the blocks of the benchmark.
+SHARDS = 8
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,23 +140,23 @@ def locate(words: np.ndarray, before: np.ndarray, items: Items) -> tuple[np.ndar
     return at[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], which
 
 
-def _longest(place: np.ndarray, which: np.ndarray, items: Items) -> int:
-    """Words in the longest match of one document: occurrences of an item's windows that follow one another."""
+def _spans(place: np.ndarray, which: np.ndarray, items: Items) -> list[tuple]:
+    """(item_id, first word in the shard, first word in the item, words) of the longest matches: occurrences of an item's windows that follow one another."""
     n = items.cut[which + 1] - items.cut[which]
     entry = items.order[np.repeat(items.cut[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
     place = np.repeat(place, n)
     item, diagonal = items.item[entry], place - items.start[entry]
     order = np.lexsort((place, diagonal, item))
-    item, diagonal, place, last = item[order], diagonal[order], place[order], items.length[items.window[entry]][order]
+    item, diagonal, place, last, start = item[order], diagonal[order], place[order], items.length[items.window[entry]][order], items.start[entry][order]
     new = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] != place[:-1] + 1)]))
     ends = np.append(new[1:], len(place)) - 1
-    return int((place[ends] + last[ends] - place[new]).max())
+    return [(items.ids[i], int(p), int(q), int(k)) for i, p, q, k in zip(item[new], place[new], start[new], place[ends] + last[ends] - place[new], strict=True)]
 
 
 _OPEN: dict[str, Items] = {}
 
 
-def _block(path: str, alone: bool, window: int) -> Items:
+def _block(path: str, window: int) -> Items:
     if path not in _OPEN:
         _OPEN.clear()
         with pa.ipc.open_stream(content(path)) as stream:
@@ -161,40 +165,59 @@ def _block(path: str, alone: bool, window: int) -> Items:
     return _OPEN[path]
 
 
-def _scan(batches: Iterator[pa.RecordBatch], paths: list[str], window: int, share: int) -> Iterator[pa.RecordBatch]:
-    def out(ids: list[pa.Array], words: np.ndarray, before: np.ndarray) -> pa.RecordBatch:
-        n = len(before) - 1
-        edge, found, longest = np.zeros(len(words) + 1, np.int64), {}, {}
-        for path in paths:
-            items = _block(path, len(paths) == 1, window)
-            place, which = locate(words, before, items)
-            np.add.at(edge, place, 1)
-            np.add.at(edge, place + items.length[which], -1)
-            doc = np.searchsorted(before, place, "right") - 1
-            order = np.argsort(doc, kind="stable")
-            doc, place, which = doc[order], place[order], which[order]
-            for d in np.unique(doc):
-                a, z = np.searchsorted(doc, [d, d + 1])
-                seen = {items.ids[items.item[e]] for w in np.unique(which[a:z]) for e in items.order[items.cut[w] : items.cut[w + 1]]}
-                found.setdefault(int(d), set()).update(seen)
-                longest[int(d)] = max(longest.get(int(d), 0), _longest(place[a:z], which[a:z], items))
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-        n_hit, n_words = hit[before[1:]] - hit[before[:-1]], np.diff(before)
-        items_of = [sorted(x for x in found.get(d, ()) if x is not None) for d in range(n)]
+class Shard:
+    """The words of some documents, and what was found in them."""
+
+    def __init__(self, ids: list[pa.Array], held: list[np.ndarray], sizes: list[np.ndarray]):
+        self.ids, self.words, self.before = pa.concat_arrays(ids), np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        self.edge, self.spans = np.zeros(len(self.words) + 1, np.int64), {}
+
+    def search(self, items: Items) -> None:
+        place, which = locate(self.words, self.before, items)
+        np.add.at(self.edge, place, 1)
+        np.add.at(self.edge, place + items.length[which], -1)
+        doc = np.searchsorted(self.before, place, "right") - 1
+        order = np.argsort(doc, kind="stable")
+        doc, place, which = doc[order], place[order], which[order]
+        for d in np.unique(doc):
+            a, z = np.searchsorted(doc, [d, d + 1])
+            self.spans.setdefault(int(d), []).extend(_spans(place[a:z], which[a:z], items))
+
+    def judged(self, share: int) -> pa.RecordBatch:
+        hit = np.concatenate([[0], np.cumsum(np.cumsum(self.edge[:-1]) > 0)])
+        n_hit, n_words = hit[self.before[1:]] - hit[self.before[:-1]], np.diff(self.before)
+        docs = range(len(self.ids))
+        found = [{x[0] for x in self.spans.get(d, ())} for d in docs]
         return pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays(ids),
+                self.ids,
                 pa.array(n_words, pa.int64()),
                 pa.array(n_hit, pa.int64()),
-                pa.array([len(found.get(d, ())) for d in range(n)], pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items_of], pa.string()),
+                pa.array([len(x) for x in found], pa.int64()),
+                pa.array([hashlib.sha256(",".join(sorted(i for i in x if i is not None)).encode()).hexdigest() for x in found], pa.string()),
                 pa.array((n_hit > 0) & (share * n_hit >= n_words), pa.bool_()),
-                pa.array([longest.get(d, 0) for d in range(n)], pa.int64()),
+                pa.array([max((x[3] for x in self.spans.get(d, ())), default=0) for d in docs], pa.int64()),
             ],
             ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"],
         )
 
-    ids, held, sizes, total = [], [], [], 0
+    def listed(self) -> pa.RecordBatch:
+        rows = [(d, item, p - int(self.before[d]), q, n) for d, spans in sorted(self.spans.items()) for item, p, q, n in spans]
+        return pa.RecordBatch.from_arrays(
+            [self.ids.take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.string()), *(pa.array([r[i] for r in rows], pa.int64()) for i in (2, 3, 4))],
+            ["doc_id", "item_id", "at_word", "item_word", "n_words"],
+        )
+
+
+def _scan(batches: Iterator[pa.RecordBatch], paths: list[str], window: int) -> Iterator[Shard]:
+    def searched(shards: list[Shard]) -> list[Shard]:
+        for path in paths:
+            items = _block(path, window)
+            for shard in shards:
+                shard.search(items)
+        return shards
+
+    ids, held, sizes, total, shards = [], [], [], 0, []
     for batch in batches:
         for first, end, text, at in slices(batch.column(1)):
             start, stop, before = word_bounds(text, at, ALNUM)
@@ -203,10 +226,14 @@ def _scan(batches: Iterator[pa.RecordBatch], paths: list[str], window: int, shar
             sizes.append(np.diff(before))
             total += len(start)
             if total >= SHARD_WORDS:
-                yield out(ids, np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+                shards.append(Shard(ids, held, sizes))
                 ids, held, sizes, total = [], [], [], 0
+                if len(shards) == SHARDS:
+                    yield from searched(shards)
+                    shards = []
     if ids:
-        yield out(ids, np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+        shards.append(Shard(ids, held, sizes))
+    yield from searched(shards)
 
 
 def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[str]:
@@ -236,11 +263,20 @@ def item_blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
     return paths
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, share: int = 20) -> DataFrame:
-    """A row for each document: its words, how many a test window covers, the items, whether share * hits >= words."""
+def _found(docs: DataFrame, benchmark: DataFrame, text: str, window: int, out: Callable[[Shard], pa.RecordBatch], schema: str) -> DataFrame:
     paths = item_blocks(benchmark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(lambda b: _scan(b, paths, window, share), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long")
+    return rows.mapInArrow(lambda b: map(out, _scan(b, paths, window)), schema)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, share: int = 20) -> DataFrame:
+    """A row for each document: its words, how many a test window covers, the items, whether share * hits >= words, the longest match."""
+    return _found(docs, benchmark, text, window, lambda s: s.judged(share), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Where documents hold what the benchmark holds: (doc_id, item_id, at_word, item_word, n_words), the longest matches of at least a window."""
+    return _found(docs, benchmark, text, window, Shard.listed, "doc_id long, item_id string, at_word long, item_word long, n_words long")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -344,6 +344,10 @@ def _linked(links: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(3)], ["a", "b", "n"])
 
 
+def _keyed(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumn("key", F.xxhash64(*columns))
+
+
 def tiles(homes: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
     """(tile, role, cid) from classes and their sizes (cid, n, home), and those that ask in other homes.
 
@@ -355,8 +359,7 @@ def tiles(homes: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
     pieces = F.ceil(F.col("held") / F.greatest(F.lit(BLOCK), F.least(F.lit(LARGEST), F.ceil(F.sqrt("held"))))).cast("long")
     grouped = lambda df: df.groupBy("home", "size").agg(F.count("*").alias("held")).select("home", "size", pieces.alias("pieces"))
     # keyed apart from the joins before and after, so that each takes plain shuffles, of which adaptive execution splits a large home's
-    keyed = lambda df: df.withColumn("key", F.xxhash64("home", "size"))
-    within = lambda df, groups: keyed(df).join(keyed(groups), ["key", "home", "size"]).withColumn("piece", F.expr("pmod(xxhash64(cid), pieces)")).drop("key")
+    within = lambda df, groups: _keyed(df, "home", "size").join(_keyed(groups, "home", "size"), ["key", "home", "size"]).withColumn("piece", F.expr("pmod(xxhash64(cid), pieces)")).drop("key")
     homes, visits = sized(homes), sized(visits)
     groups, comers = grouped(homes), grouped(visits)
     own, guests = within(homes, groups), within(visits, comers)
@@ -444,8 +447,9 @@ def join_components(docs: DataFrame, text: str = "text", k: int = 4, percent: in
     least = classes.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("first"))
     least = least.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     of_root = least.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = least.join(of_root, "root").select("cid", "component_id").join(degree, "cid", "left")
-    return classes.join(named, "cid", "left").select(
+    # keyed anew, so that each join takes plain shuffles, of which adaptive execution splits a large component's or class's
+    named = _keyed(least, "root").join(_keyed(of_root, "root"), ["key", "root"]).select("cid", "component_id").join(degree, "cid", "left")
+    return _keyed(classes, "cid").join(_keyed(named, "cid"), ["key", "cid"], "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),

@@ -1,15 +1,17 @@
 """Licence scans with a trained paragraph classifier.
 
-A paragraph (a line with a word) is a sparse bag of hashed 1-, 2- and 3-grams of its words.  A logistic regression
-over the families in TEMPLATES and a class `none` gives probabilities; they are calibrated by a temperature, and what stays
-below CONFIDENT for its best family is unknown.  A family counts only when the paragraph also resembles one of its
-templates: the share of the template's 3-word shingles that it holds, or of its own that the template holds, reaches CONFIRMED.
+A paragraph is a line with a word, or a run of such lines (a wrapped notice).  It is a sparse bag of hashed 1-, 2- and 3-grams of its
+words.  A logistic regression over the families in TEMPLATES and a class `none` gives probabilities, calibrated by a
+temperature.  A family is found when its probability reaches CONFIDENT and the paragraph resembles one of its templates: the
+share of the template's 3-word shingles that it holds, or of its own that the template holds, reaches CONFIRMED.  What is
+nearest to a family but less sure than that, and holds at least HINTS pairs of words in a row that templates have, is `unknown`.  A run is
+told where none of its lines has the family by itself, and unknown where none of its lines is anything.
 
 The classifier is trained here, by full-batch gradient steps, on damaged copies of the templates and on generated and template-like text
 without a licence (EXAMPLES a family, fixed seed), on the driver and once a process; its weights are a sorted hash array.
 
-Only paragraphs that hold an n-gram which a template has (as most have none, found by one vectorised look-up over all words) are scored: the
-others have no feature for any family.  Nulls: a null or empty text has no paragraph.  Repeated rows: each gives a
+Only paragraphs with a pair of words in a row that a template has (as most have none, found by one vectorised look-up over all words) are
+scored: all others are `none`.  Nulls: a null or empty text has no paragraph.  Repeated rows: each gives a
 row.  Extra columns are not read.  An empty table gives no rows.
 """
 
@@ -28,9 +30,15 @@ from .kernel import ALNUM, slices, windows, word_bounds, word_hashes
 from .shared import table
 
 EXAMPLES, STEPS, RATE, RIDGE = 60, 150, 2.0, 1e-4
-CONFIDENT, CONFIRMED = 0.7, 0.6
+CONFIDENT, CONFIRMED, HINTS = 0.7, 0.6, 4
+UNKNOWN = "unknown"
 #: Opening or notice texts of common licences, and their short forms, by family.
 TEMPLATES = {
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -46,14 +54,29 @@ TEMPLATES = {
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
     "cc-by-nc": ["This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.", "Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
     "cc-by-sa": ["This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License.", "Licensed under CC BY-SA 4.0.", "SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "This work is dedicated to the public domain under CC0 1.0 Universal.",
+        "SPDX-License-Identifier: CC0-1.0",
+    ],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+    ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
         "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
     ],
     "mit": [
         "Released under the MIT License.",
@@ -61,7 +84,12 @@ TEMPLATES = {
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "SPDX-License-Identifier: MIT",
     ],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
 }
 FAMILIES = [*sorted(TEMPLATES), "none"]
 
@@ -124,11 +152,12 @@ class Classifier:
         return at, self.vocabulary[at] == value
 
     def classified(self, words: np.ndarray, before: np.ndarray) -> list[tuple[int, str, float, float]]:
-        """(paragraph, family, probability, resemblance) of paragraphs with a confirmed family."""
-        pair, _ = windows(words, before, 2)
+        """(paragraph, family or unknown, probability, resemblance) of paragraphs with either."""
+        pair, cut = windows(words, before, 2)
         _, ok = self.known(pair)
-        count = np.maximum(np.diff(before) - 1, 0)
-        close = np.unique(np.repeat(np.arange(len(count)), count)[ok])
+        hints = np.concatenate([[0], np.cumsum(ok)])[cut]
+        hints = hints[1:] - hints[:-1]
+        close = np.flatnonzero(hints > 0)
         out = []
         for first in range(0, len(close), 512):
             some = close[first : first + 512]
@@ -138,17 +167,53 @@ class Classifier:
             own = words[at]
             p = self._softmax((self._bags(*grams(own, cut), len(some)) @ self.weights + self.offset) / self.temperature)
             best = p.argmax(1)
-            for i in np.flatnonzero((best < len(FAMILIES) - 1) & (p.max(1) >= CONFIDENT)):
+            for i in np.flatnonzero(best < len(FAMILIES) - 1):
                 mine = np.unique(windows(own[cut[i] : cut[i + 1]], np.array([0, size[i]]), int(min(3, size[i])))[0])
                 alike = 0.0
                 for f, shingles in self.templates:
                     if f == best[i]:
                         common = len(np.intersect1d(mine, shingles, assume_unique=True))
                         alike = max(alike, common / len(shingles), common / len(mine) if len(mine) >= 4 else 0.0)
-                if alike >= CONFIRMED:
+                if alike >= CONFIRMED and p[i].max() >= CONFIDENT:
                     out.append((int(some[i]), FAMILIES[best[i]], float(p[i, best[i]]), alike))
+                elif hints[some[i]] >= HINTS:
+                    out.append((int(some[i]), UNKNOWN, float(p[i, best[i]]), alike))
         return out
 
+    def scanned(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[list[tuple[str, int, float]]]]:
+        """How many lines with a word each text has, and (family or unknown, line, probability) of what it holds."""
+        breaks = np.flatnonzero(data == 10) + 1
+        edges = np.unique(np.concatenate([at, breaks, [0, len(data)]]))
+        start, stop, before = word_bounds(data, edges, ALNUM)
+        words = word_hashes(data, start, stop, True)
+        doc = np.searchsorted(at, edges[:-1], "right") - 1
+        filled = np.diff(before) > 0
+        n = np.bincount(doc[filled], minlength=len(at) - 1) if len(doc) else np.zeros(len(at) - 1, np.int64)
+        found: list[list] = [[] for _ in range(len(at) - 1)]
+        if not len(words):
+            return n, found
+        newline = np.concatenate([[0], np.cumsum(data == 10)])
+        line = lambda p: int(newline[edges[p]] - newline[at[doc[p]]])
+        held: dict[int, set] = {}
+        for p, family, chance, _ in self.classified(words, before):
+            found[doc[p]].append((family, line(p), chance))
+            held.setdefault(p, set()).add(family)
+        # runs of two filled lines or more within a text
+        new = np.ones(len(filled), bool)
+        new[1:] = ~filled[1:] | ~filled[:-1] | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(filled))
+        first, last = first[last - first > 1], last[last - first > 1]
+        if len(first):
+            size = before[last] - before[first]
+            cut = np.concatenate([[0], np.cumsum(size)])
+            own = words[np.repeat(before[first] - cut[:-1], size) + np.arange(int(size.sum()))]
+            for r, family, chance, _ in self.classified(own, cut):
+                lines = set().union(*(held.get(p, ()) for p in range(first[r], last[r])))
+                if family not in lines and not (family == UNKNOWN and lines):
+                    found[doc[first[r]]].append((family, line(first[r]), chance))
+        return n, [sorted(x, key=lambda y: (y[1], y[0])) for x in found]
+
 
 def _training() -> tuple[list[str], np.ndarray]:
     rnd = random.Random(11)
@@ -177,38 +242,27 @@ def trained() -> Classifier:
 
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_paragraphs, n_licences, families, findings): findings are family:line:probability, comma-joined; lines count from 0."""
+    """(doc_id, n_paragraphs, n_licences, n_unknown, families, findings): findings are family:line:probability, comma-joined; lines count from 0."""
     sent = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
         for batch in batches:
             for first, end, data, at in slices(batch.column(1)):
-                breaks = np.flatnonzero(data == 10) + 1
-                edges = np.unique(np.concatenate([at, breaks, [0, len(data)]]))
-                start, stop, before = word_bounds(data, edges, ALNUM)
-                words = word_hashes(data, start, stop, True)
-                doc = np.searchsorted(at, edges[:-1], "right") - 1
-                filled = np.diff(before) > 0
-                n = np.bincount(doc[filled], minlength=end - first) if len(doc) else np.zeros(end - first, np.int64)
-                found: dict[int, list] = {}
-                for p, family, chance, _ in model.classified(words, before) if len(words) else ():
-                    line = int((data[at[doc[p]] : edges[p]] == 10).sum())
-                    found.setdefault(int(doc[p]), []).append((family, line, chance))
-                rows = [found.get(d, []) for d in range(end - first)]
+                n, rows = sent.value.scanned(data, at)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, end - first),
                         pa.array(n, pa.int64()),
-                        pa.array([len(r) for r in rows], pa.int64()),
-                        pa.array([",".join(sorted({x[0] for x in r})) for r in rows], pa.string()),
+                        pa.array([sum(x[0] != UNKNOWN for x in r) for r in rows], pa.int64()),
+                        pa.array([sum(x[0] == UNKNOWN for x in r) for r in rows], pa.int64()),
+                        pa.array([",".join(sorted({x[0] for x in r} - {UNKNOWN})) for r in rows], pa.string()),
                         pa.array([",".join(f"{f}:{line}:{c:.3f}" for f, line, c in r) for r in rows], pa.string()),
                     ],
-                    ["doc_id", "n_paragraphs", "n_licences", "families", "findings"],
+                    ["doc_id", "n_paragraphs", "n_licences", "n_unknown", "families", "findings"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_paragraphs long, n_licences long, families string, findings string")
+    return rows.mapInArrow(run, "doc_id long, n_paragraphs long, n_licences long, n_unknown long, families string, findings string")
 
 
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ BASE = ("email", "ip", "card", "phone")
 #: Kinds of the field: the base's, written otherwise, and two that have no base pattern.
 KINDS = (*BASE, "iban", "secret")
 MAX_TOKENS, MAX_CHARS, NEAR = 16, 90, 8
-GENERATED, EPOCHS, RATE, RIDGE = 360, 12, 0.3, 1e-3
+GENERATED, EPOCHS, RATE, RIDGE = 900, 10, 0.3, 1e-3
 #: What the likelihood of the field must gain over leaving a segment out.
 BIAS = 1.0
 
@@ -253,7 +253,7 @@ def _examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
         return name.replace(".", dot if rnd.random() < 0.5 and dot != "." else ".") + at + dot.join(host)
 
     def phone() -> str:
-        return rnd.choice([f"+{digit(1)} ({digit(3)}) {digit(3)}-{digit(4)}", f"({digit(3)}) {digit(3)}-{digit(4)}", f"00{rnd.randint(10, 99)} {digit(3)} {digit(6)}", f"0{digit(3)} {digit(7)}", f"{rnd.randint(2, 9)}{digit(2)}-{digit(3)}-{digit(4)}"])
+        return rnd.choice([f"+{digit(1)} ({digit(3)}) {digit(3)}-{digit(4)}", f"({digit(3)}) {digit(3)}-{digit(4)}", f"00{rnd.randint(10, 99)} {digit(3)} {digit(6)}", f"0{digit(3)} {digit(7)}", f"{rnd.randint(2, 9)}{digit(2)}-{digit(3)}-{digit(4)}", f"{rnd.randint(2, 9)}{digit(2)}.{digit(3)}.{digit(4)}", f"00{rnd.randint(10, 99)} {digit(2)} {digit(7)}"])
 
     def iban() -> str:
         land, body = rnd.choice(["DE", "FR", "ES", "GB"]), digit(18)
@@ -261,9 +261,13 @@ def _examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
         s = f"{land}{check:02d}{body}"
         return s if rnd.random() < 0.5 else " ".join(s[i : i + 4] for i in range(0, len(s), 4))
 
+    def ip() -> str:
+        dots = rnd.choice([(".",) * 3, (" . ",) * 3, ("[.]",) * 3, tuple(rnd.choices([".", "[.]", "(.)"], k=3))])
+        return "".join(f"{rnd.randint(0, 255)}{dot}" for dot in (*dots, ""))
+
     made = {
         "email": email,
-        "ip": lambda: rnd.choice([".", ".", " . ", "[.]"]).join(str(rnd.randint(0, 255)) for _ in range(4)),
+        "ip": ip,
         "card": lambda: rnd.choice([lambda s: s, lambda s: " ".join(s[i : i + 4] for i in range(0, 16, 4)), lambda s: "-".join(s[i : i + 4] for i in range(0, 16, 4)), lambda s: ".".join(s[i : i + 4] for i in range(0, 16, 4))])(number(16)),
         "phone": phone,
         "iban": iban,
@@ -275,6 +279,8 @@ def _examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]
         lambda: f"{digit(3)},{digit(3)},{digit(3)}.{digit(2)}",
         lambda: f"version {rnd.randint(1, 9)}.{rnd.randint(0, 20)}.{rnd.randint(0, 20)}",
         lambda: f"{word()} at {word()} {rnd.randint(1, 99)}",
+        lambda: f"{digit(1)}.{digit(rnd.randint(6, 30))}",
+        lambda: f"{digit(3)}-{digit(1)}-{digit(2)}-{digit(6)}-{digit(1)}",
         lambda: f"{rnd.randint(1, 99)} {word()} {rnd.randint(1, 999)}",
         lambda: digit(rnd.choice([4, 5, 6, 8, 9, 13, 20])),
         lambda: f"{digit(4)} {digit(4)} {digit(4)}",

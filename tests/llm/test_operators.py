@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from extentlake.llm import decontaminate, jaccard_join, language, licences, pii, token_store, warc
+from extentlake.llm import decontaminate, jaccard_join, kernel, language, licences, pii, token_store, warc
 
 from ..conftest import SMALL
 
@@ -172,6 +172,18 @@ def test_longest_match(spark):
     bench = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
     got = {r.doc_id: (r.longest, r.n_hit) for r in decontaminate.contamination(docs, bench).collect()}
     assert got == {1: (30, 30), 2: (0, 0)}
+    assert [tuple(r) for r in decontaminate.matches(docs, bench).collect()] == [(1, "9", 2, 5, 30)]
+
+
+def test_shards_and_blocks_of_items_change_nothing(spark, odd_documents, monkeypatch):
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = Counter(map(tuple, decontaminate.contamination(docs, bench).collect()))
+    for words, items, shards in ((1000, 50, 2), (50, 1 << 20, 3)):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", words)
+        monkeypatch.setattr(decontaminate, "ITEM_WORDS", items)
+        monkeypatch.setattr(decontaminate, "SHARDS", shards)
+        assert Counter(map(tuple, decontaminate.contamination(docs, bench).collect())) == want
 
 
 def test_token_store_round_trip(odd_documents, no_documents, spark):
@@ -376,3 +388,125 @@ def test_index_tells_a_null_id_from_every_id_and_equal_hashes_apart(spark, monke
     part = token_store.IndexPart(f"{folder}/000000.mph")
     found, ok = part.lookup(np.array([1, 2, 3]), np.array([0, 0, 1]), np.array([0, 0, 0]))
     assert ok.all() and found["shard"].tolist() == [4, 5, 6] and found["n"].tolist() == [1, 2, 3]
+
+
+# Notices as they stand in files, wrapped, abbreviated and in comments: none is a template.
+HELD_OUT = [
+    ("apache", "   Licensed under the Apache License, Version 2.0 (the \"License\");\n   you may not use this file except in compliance with the License.\n   You may obtain a copy of the License at"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files, to deal\nin the Software without restriction, including without limitation the rights to use"),
+    ("gpl", "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version."),
+    ("lgpl", "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either"),
+    ("agpl", "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("bsd", " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"),
+    ("isc", "Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this"),
+    ("epl", "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License v. 2.0 which is available at"),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("cc0", "To the extent possible under law, Jane Roe has waived all copyright and\nrelated or neighboring rights to this work."),
+    ("cc-by", "Except where noted, this work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "This text is licensed under a Creative Commons Attribution ShareAlike 4.0 International License."),
+    ("cc-by-nc", "All photos: CC BY-NC 4.0, licensed under CC BY-NC 4.0."),
+    ("mit", "# SPDX-License-Identifier: MIT"),
+    ("gpl", "// SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("apache", "/* SPDX-License-Identifier: Apache-2.0 */"),
+    ("mit", "The project is released under the MIT License."),
+]
+NO_LICENCE = [
+    "He was given a licence to fish in the river, and no one asked for it again.",
+    "You can use any version of this software that you like.",
+    "The terms of the contract were made available to the public.",
+    "A copy of this notice hangs in the hall.",
+    "The above conditions apply to all persons who visit the work without a fee.",
+]
+
+
+def _licences_of(text):
+    (_, _, data, at), *_ = kernel.slices(pa.array([text]))
+    return licences.trained().scanned(data, at)[1][0]
+
+
+def test_licences_of_notices_not_trained_on():
+    for family, text in HELD_OUT:
+        assert {x[0] for x in _licences_of(text)} - {licences.UNKNOWN} == {family}, text
+    assert not any(_licences_of(t) for t in NO_LICENCE)
+
+
+def test_licence_in_a_long_text_and_what_is_unknown():
+    filler = "lorem ipsum dolor sit amet " * 8000
+    wrapped = HELD_OUT[1][1]
+    found = _licences_of(filler + "\n\n" + wrapped + "\n\n" + filler)
+    assert [x[0] for x in found if x[0] != licences.UNKNOWN] == ["mit"] and min(x[1] for x in found) >= 2
+    unsure = "This work is made available under the terms of a licence that the author may choose at any later date, subject to the following conditions."
+    assert {x[0] for x in _licences_of(unsure)} <= {licences.UNKNOWN}
+    assert {x[0] for x in _licences_of("This library is free software; you can redistribute it and/or")} == {licences.UNKNOWN}
+
+
+# Sentences by hand, with kind and string of what must be found beside the base patterns; none comes from the trainer's rules.
+PERSONAL = [
+    ("Reach Anna under anna.k (at) firma (dot) de any day.", [("email", "anna.k (at) firma (dot) de")]),
+    ("Write to support [at] example [dot] org for help.", [("email", "support [at] example [dot] org")]),
+    ("The office is on (212) 555-0199, ask for Joan.", [("phone", "(212) 555-0199")]),
+    ("Call 0049 30 1234567 before noon.", [("phone", "0049 30 1234567")]),
+    ("my cell is 415-555-2671 ok?", [("phone", "415-555-2671")]),
+    ("Please transfer to DE89 3704 0044 0532 0130 00 today.", [("iban", "DE89 3704 0044 0532 0130 00")]),
+    ("IBAN: GB29NWBK60161331926819.", [("iban", "GB29NWBK60161331926819")]),
+    ("FR1420041010050500013M02606 is the account", [("iban", "FR1420041010050500013M02606")]),
+    ('api_key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', [("secret", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b")]),
+    ("export TOKEN=d41d8cd98f00b204e9800998ecf8427e", [("secret", "d41d8cd98f00b204e9800998ecf8427e")]),
+    ("password: 5f4dcc3b5aa765d61d8327deb882cf99 (old)", [("secret", "5f4dcc3b5aa765d61d8327deb882cf99")]),
+    ("login from 10.20.30[.]40 was refused", [("ip", "10.20.30[.]40")]),
+    ("Visa 4111.1111.1111.1111 expires soon", [("card", "4111.1111.1111.1111")]),
+]
+IMPERSONAL = [
+    "In 1998 there were 12,345,678 people in 27 states.",
+    "Order 66 shipped on 2024-02-29 at 23:59:59.",
+    "See chapter 3.14.15 and table 9.",
+    "The ratio is 0.123456789012345678901234567890.",
+    "Flight LH 1234 departs at 10:45 from gate B 22.",
+    "ISBN 978-3-16-148410-0 is out of print",
+    "He scored 105 at Lord's and 98 at the Oval.",
+    "We met at noon dot com was her reply",
+    "| 2019 | 3456 | 12.5 | 77 |",
+    "x = 1024 * 768 + 640 * 480",
+]
+
+
+def test_field_on_sentences_by_hand():
+    field, right, wrong, missed = pii.trained(), Counter(), Counter(), Counter()
+    for text, spans in [*PERSONAL, *((t, []) for t in IMPERSONAL)]:
+        _, every = pii.found(text, field)
+        got, want = {(pii.KINDS[k], text[a:z]) for a, k, z in every}, set(spans)
+        for kind, _ in got & want:
+            right[kind] += 1
+        for kind, _ in got - want:
+            wrong[kind] += 1
+        for kind, _ in want - got:
+            missed[kind] += 1
+    print("right", dict(right), "wrong", dict(wrong), "missed", dict(missed))
+    assert sum(right.values()) >= 0.8 * len(PERSONAL) and sum(wrong.values()) <= 2, (right, wrong, missed)
+
+
+def test_field_finds_the_best_of_all_segmentations():
+    """The dynamic programme against every set of segments that don't overlap."""
+    rnd, field = random.Random(8), pii.trained()
+    pieces = ["415-555-2671", "a (at) b (dot) de", "12", "DE89 3704 0044 0532 0130 00", "x", "10 . 0 . 0 . 1", "token = 0123456789abcdef0123456789abcdef", "7", "word"]
+    for _ in range(25):
+        text = " ".join(rnd.choices(pieces, k=3))
+        toks = pii.tokens(text, 0, len(text))
+        scored = []
+        for i, j in pii.candidates(text, toks, pii.triggered(text, toks)):
+            score = field.scores(pii.span_features(text, toks[i][0], toks[j - 1][1], j - i)) - pii.BIAS
+            if score.max() > 0:
+                scored.append((i, j, float(score.max())))
+
+        def best(at, scored=scored):
+            return max([0.0, *(s + best(j, scored) for i, j, s in scored if i >= at)])
+
+        def total(spans, text=text, toks=toks):
+            first, last = {a: n for n, (a, _) in enumerate(toks)}, {z: n + 1 for n, (_, z) in enumerate(toks)}
+            return sum(float(field.scores(pii.span_features(text, a, z, last[z] - first[a]))[k]) - pii.BIAS for a, k, z in spans)
+
+        got = field.entities(text)
+        assert all(x[2] <= y[0] for x, y in zip(got, got[1:], strict=False))
+        if len(scored) <= 60:
+            assert abs(total(got) - best(0)) < 1e-6
