@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import containing
+from .running import bucket_of, numbered
 
 
 def element_count() -> Column:
@@ -37,17 +38,12 @@ def displacement() -> Column:
 
 
 def edges(pointers: DataFrame, alloc: DataFrame) -> DataFrame:
-    """Pointers with the allocation that holds the whole slot and the one that holds the target's first byte; NULL where none does.
-
-    Rows without a target skip the second join, so they are no hot key.
-    """
+    """Pointers with the allocation that holds the whole slot and the one that holds the target's first byte; NULL where none does."""
     side = lambda p: alloc.select("segment", "cluster", *(F.col(c).alias(f"{p}_{n}") for c, n in (("id", "id"), ("type_name", "type"), ("logical_offset", "start"), ("size", "size"), ("vector", "vector"), ("element_stride", "stride"), ("array_header_size", "header"))))
     held = containing(pointers, side("s"), "logical_offset", "s_start", "s_size", F.col("width"))
-    aimed = held.where(F.col("target_offset").isNotNull())
     target = side("t").select("segment", "cluster", "t_id", "t_type", "t_start", "t_size")
-    aimed = containing(aimed, target, "target_offset", "t_start", "t_size", 1, {"target_segment": "segment", "target_cluster": "cluster"})
-    other = held.where(F.col("target_offset").isNull()).withColumns({"t_id": F.lit(None).cast("long"), "t_type": F.lit(None).cast("string"), "t_start": F.lit(None).cast("long"), "t_size": F.lit(None).cast("long")})
-    return aimed.unionByName(other).withColumn("displacement", displacement())
+    aimed = containing(held, target, "target_offset", "t_start", "t_size", 1, {"target_segment": "segment", "target_cluster": "cluster"})
+    return aimed.withColumn("displacement", displacement())
 
 
 def reference_shapes(edge: DataFrame, fold: int | None = None) -> DataFrame:
@@ -57,12 +53,13 @@ def reference_shapes(edge: DataFrame, fold: int | None = None) -> DataFrame:
 
 
 def degrees(edge: DataFrame) -> DataFrame:
-    """References out of and into each type; links count only RESOLVED ones with a target."""
-    link = (F.col("status") == "RESOLVED") & F.col("t_id").isNotNull()
-    out = edge.where(F.col("s_type").isNotNull()).groupBy(F.col("s_type").alias("type_name")).agg(F.count("*").alias("outgoing"), F.sum(F.when(link, 1).otherwise(0)).alias("outgoing_links"))
-    into = edge.where(F.col("t_type").isNotNull()).groupBy(F.col("t_type").alias("type_name")).agg(F.count("*").alias("incoming"), F.sum(F.when(link, 1).otherwise(0)).alias("incoming_links"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.join(into, "type_name", "full").select("type_name", *map(zero, ("outgoing", "outgoing_links", "incoming", "incoming_links")))
+    """References out of and into each type, in one pass; links count only RESOLVED ones with a target."""
+    link = ((F.col("status") == "RESOLVED") & F.col("t_id").isNotNull()).cast("long")
+    end = lambda c, out: F.struct(F.col(c).alias("type_name"), F.lit(out).alias("out"), F.coalesce(link, F.lit(0).cast("long")).alias("link"))
+    ends = edge.select(F.explode(F.array(end("s_type", 1), end("t_type", 0))).alias("e")).select("e.*").where("type_name IS NOT NULL")
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    out, into = F.col("out").cast("long"), 1 - F.col("out").cast("long")
+    return ends.groupBy("type_name").agg(count(out).alias("outgoing"), count(out * F.col("link")).alias("outgoing_links"), count(into).alias("incoming"), count(into * F.col("link")).alias("incoming_links"))
 
 
 def roles(types: DataFrame) -> DataFrame:
@@ -105,19 +102,31 @@ def capped_histogram(counts: DataFrame, label: str, n: str, most: int, other: st
 
 
 def interned(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct values with a digest, and ids from 1 in order of the digest."""
-    from pyspark.sql import Window
-
+    """Distinct values with a digest, and ids from 1 in order of the digest, numbered by the digest's first digits."""
     digest = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
     values = rows.select(*columns).distinct().withColumn("digest", digest)
-    return values.withColumn("id", F.row_number().over(Window.orderBy("digest")).cast("long"))
+    return numbered(values, [], ["digest"], F.conv(F.substring("digest", 1, 4), 16, 10).cast("long"), "id").withColumn("id", F.col("id") + 1)
 
 
 def spread(rows: DataFrame, stratum: str, order: str, k: int) -> DataFrame:
     """At most k rows of each stratum, evenly spaced: the rows number i * (n - 1) div (k - 1)."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(stratum)
-    ranked = rows.withColumn("_i", (F.row_number().over(w.orderBy(order)) - 1).cast("long")).withColumn("_n", F.count("*").over(w))
+    sizes = rows.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
+    ranked = numbered(rows, [stratum], [order], bucket_of(rows, order), "_i").join(sizes, F.col(stratum).eqNullSafe(F.col("_s")))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(F.col("_n") <= k, i.cast("long")).otherwise(F.floor(i * (F.col("_n") - 1) / (k - 1)).cast("long")))
-    return ranked.where(F.array_contains(wanted, F.col("_i"))).drop("_i", "_n")
+    return ranked.where(F.array_contains(wanted, F.col("_i"))).drop("_i", "_n", "_s")
+
+
+def counters(rows: DataFrame, group: list[str], key: str) -> DataFrame:
+    """(group, counters): a map from each key to its count, keys in order."""
+    n = rows.where(F.col(key).isNotNull()).groupBy(*group, key).agg(F.count("*").alias("_n"))
+    return n.groupBy(*group).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key).cast("string"), "_n")))).alias("counters"))
+
+
+def sampled_reasons(rows: DataFrame, reason: str, sample: str, reasons: int = 64, samples: int = 4) -> DataFrame:
+    """(reason, n, samples): the most frequent reasons with their least samples; what is over the bound is counted as __OTHER__."""
+    counts = rows.groupBy(F.col(reason).alias("reason")).agg(F.count("*").alias("n"))
+    top = capped_histogram(counts, "reason", "n", reasons)
+    least = rows.select(F.col(reason).alias("reason"), F.col(sample).alias("_x")).distinct()
+    w = Window.partitionBy("reason").orderBy("_x")
+    least = least.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= samples).groupBy("reason").agg(F.array_sort(F.collect_list("_x")).alias("samples"))
+    return top.join(least, top["reason"].eqNullSafe(least["reason"]), "left").select(top["reason"], "n", "samples")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import before, bucket_of
+
 
 def neighbours(edge: DataFrame, node: int, direction: str = "out", after: tuple[int, int, int] | None = None, limit: int = 100) -> DataFrame:
     """A page of the links of an allocation in address order, strictly after a cursor (segment, cluster, offset)."""
@@ -149,6 +151,9 @@ def resolved(slots: DataFrame) -> DataFrame:
 
 def budgeted(rows: DataFrame, group: list[str], order: list[str], cost: str, most: int) -> DataFrame:
     """Rows of each group while their running cost is within a budget, with truncated: whether the group has more."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*group)
-    return rows.withColumn("_sum", F.sum(cost).over(w)).withColumn("truncated", F.sum(cost).over(all_) > most).where(F.col("_sum") <= most).drop("_sum")
+    totals = rows.groupBy(*(F.col(g).alias(f"_t{i}") for i, g in enumerate(group))).agg((F.sum(cost) > most).alias("truncated"))
+    on = F.lit(True)
+    for i, g in enumerate(group):
+        on &= F.col(g).eqNullSafe(F.col(f"_t{i}"))
+    summed = before(rows, group, order, bucket_of(rows, order[0]), F.col(cost), "_spent")
+    return summed.where(F.coalesce("_spent", F.lit(0)) + F.col(cost) <= most).join(totals, on).drop("_spent", *(f"_t{i}" for i in range(len(group))))

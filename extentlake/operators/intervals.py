@@ -10,8 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import before
+
 SPACE = ("segment", "cluster")
 PAGE = 1 << 16
+#: Addresses that one task sweeps.
+SWEEP = 1 << 24
 
 
 def paged(intervals: DataFrame, start: str, size: str, page: int = PAGE) -> DataFrame:
@@ -23,13 +27,14 @@ def paged(intervals: DataFrame, start: str, size: str, page: int = PAGE) -> Data
 def containing(probes: DataFrame, intervals: DataFrame, at: str, start: str, size: str, need: Column | int = 1, space: dict[str, str] | None = None, page: int = PAGE) -> DataFrame:
     """Left join of probes with the interval that holds `need` bytes from `at` on; columns of both, NULL without a match.
 
-    space: the probes' names of the intervals' group columns.  A NULL address matches nothing.
+    space: the probes' names of the intervals' group columns.  A NULL address matches nothing, and such rows are spread over all tasks.
     """
     space = space or {s: s for s in SPACE}
     right = paged(intervals, start, size, page)
     right = right.select(*(F.col(c).alias(f"_g_{i}") for i, c in enumerate(space.values())), *(c for c in intervals.columns if c not in space.values()), "_page")
     need = F.lit(need) if isinstance(need, int) else need
-    left = probes.withColumn("_probe", F.expr(f"{at} div {page}"))
+    nowhere = -1 - F.pmod(F.xxhash64(*probes.columns), F.lit(1 << 12))
+    left = probes.withColumn("_probe", F.coalesce(F.expr(f"{at} div {page}"), nowhere))
     fits = (F.col(start) <= F.col(at)) & (F.col(at) + need <= F.col(start) + F.col(size))
     keys = [F.col(c) == F.col(f"_g_{i}") for i, c in enumerate(space)]
     on = (F.col("_probe") == F.col("_page")) & fits
@@ -43,6 +48,9 @@ def overlapping(left: DataFrame, right: DataFrame, how: str, l_start: str, l_siz
 
     A pair that meets on several pages comes out once: on the page of the later start.
     """
+    if how != "inner":
+        same = Window.partitionBy(*left.columns).orderBy(F.lit(0))
+        left = left.withColumn("_row", F.struct(*left.columns, F.row_number().over(same)))
     a, b = paged(left, l_start, l_size, page), paged(right, r_start, r_size, page)
     b = b.select(*(F.col(c).alias(f"_r_{c}") for c in b.columns))
     meets = (F.col(l_start) < F.col(f"_r_{r_start}") + F.col(f"_r_{r_size}")) & (F.col(f"_r_{r_start}") < F.col(l_start) + F.col(l_size))
@@ -52,15 +60,9 @@ def overlapping(left: DataFrame, right: DataFrame, how: str, l_start: str, l_siz
     if how == "inner":
         once = F.greatest(F.col(l_start), F.col(f"_r_{r_start}"))
         return a.join(b, on & (F.expr("_page") == F.floor(once / page)), "inner").drop("_page", "_r__page")
-    found = a.join(b, on, "left_semi").drop("_page").distinct()
-    if how == "left_semi":
-        return found
-    keys = [F.col(c).eqNullSafe(F.col(f"_f_{c}")) for c in left.columns]
-    found = found.select(*(F.col(c).alias(f"_f_{c}") for c in left.columns))
-    on = keys[0]
-    for k in keys[1:]:
-        on &= k
-    return left.join(found, on, "left_anti")
+    # rows are told apart by number, so that equal ones stay as many as they are
+    found = a.join(b, on, "left_semi").select("_row").distinct()
+    return left.join(found, "_row", how).drop("_row")
 
 
 def covered_by(left: DataFrame, right: DataFrame, how: str, l_start: str, l_size: str, r_start: str, r_size: str, space: tuple[str, ...] = SPACE, page: int = PAGE) -> DataFrame:
@@ -74,9 +76,23 @@ def covered_by(left: DataFrame, right: DataFrame, how: str, l_start: str, l_size
 
 
 def with_previous_end(intervals: DataFrame, start: str, size: str, group: tuple[str, ...] = SPACE) -> DataFrame:
-    """Adds previous_end: the greatest end of the intervals before in the group; an overlap is start < previous_end."""
-    before = Window.partitionBy(*group).orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
-    return intervals.withColumn("previous_end", F.max(F.col(start) + F.col(size)).over(before))
+    """Adds previous_end: the greatest end of the intervals before in the group; an overlap is start < previous_end.
+
+    Taken over stretches of SWEEP addresses, then within one, so a group with most of the rows is swept by many tasks.
+    """
+    return before(intervals, list(group), [start], F.floor(F.col(start) / SWEEP).cast("long"), F.col(start) + F.col(size), "previous_end", F.max)
+
+
+def overlaps_of(ranges: DataFrame, group: list[str], first: str, last: str) -> DataFrame:
+    """Ranges that begin before the one ahead of them in their group ends."""
+    w = Window.partitionBy(*group).orderBy(first, last)
+    return ranges.withColumn("previous_last", F.lag(last).over(w)).where(F.col(first) < F.col("previous_last"))
+
+
+def discontinuous(rows: DataFrame, group: list[str], index: str) -> DataFrame:
+    """Rows whose index isn't the number of rows before them in their group, with that number as `expected`."""
+    w = Window.partitionBy(*group).orderBy(index)
+    return rows.withColumn("expected", (F.row_number().over(w) - 1).cast("long")).where(~F.col(index).eqNullSafe(F.col("expected")))
 
 
 def overlaps(intervals: DataFrame, start: str, size: str, group: tuple[str, ...] = SPACE) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .running import before, bucket_of
+
 
 def list_chains(blocks: DataFrame, most: int | None = None, cut=None) -> DataFrame:
     """(coll_id, node_id, place) of each collection's chain from its root, over blocks (coll_id, node_id, next_node_id, is_root).
@@ -97,5 +99,5 @@ def conflicting(contexts: DataFrame, key: str, context: str) -> DataFrame:
 def batch(tasks: DataFrame, cursor: int, members: int) -> DataFrame:
     """The next batch of open tasks (id, state, cost) by id after a cursor, within a budget of costs; what no longer fits is DEFERRED."""
     open_ = tasks.where(F.col("state").isin("PENDING", "CONTINUING", "DEFERRED") & (F.col("id") > cursor))
-    w = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return open_.withColumn("spent", F.sum("cost").over(w)).withColumn("state", F.when(F.col("spent") <= members, "PROCESSED").otherwise("DEFERRED"))
+    spent = before(open_, [], ["id"], bucket_of(open_, "id"), F.col("cost"), "spent").withColumn("spent", F.coalesce("spent", F.lit(0)) + F.col("cost"))
+    return spent.withColumn("state", F.when(F.col("spent") <= members, "PROCESSED").otherwise("DEFERRED"))
