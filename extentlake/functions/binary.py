@@ -232,3 +232,28 @@ def facets(value: Any) -> dict[str, int]:
 
     see(value)
     return out
+
+
+@pandas_udf(T.StructType([T.StructField("depth", T.IntegerType()), T.StructField("status", T.StringType())]))
+def depth_of_json(text: pd.Series) -> pd.DataFrame:
+    """How deep JSON texts are nested: READ, RESOURCE_BOUND beyond 64 levels, or MALFORMED_SOURCE."""
+    rows = []
+    for t in text:
+        try:
+            rows.append((None, "NULL") if t is None else (json_depth(t), "READ"))
+        except (ValueError, RecursionError) as e:
+            rows.append((None, "RESOURCE_BOUND" if "RESOURCE_LIMIT" in str(e) or isinstance(e, RecursionError) else "MALFORMED_SOURCE"))
+    return pd.DataFrame(rows, columns=["depth", "status"])
+
+
+def bounded_json(text: Column, most: int) -> Column:
+    """STRUCT(json, bytes, status): the canonical form of a JSON text if it has at most so many bytes; never a part of it."""
+    made = canonical_json(text)
+    size = F.octet_length(made).cast("long")
+    status = F.when(text.isNull(), "NULL").when(made.isNull(), "MALFORMED_SOURCE").when(size > most, "RESOURCE_BOUND").otherwise("WRITTEN")
+    return F.struct(F.when(size <= most, made).alias("json"), size.alias("bytes"), status.alias("status"))
+
+
+def utc_text(seconds: Column) -> Column:
+    """Seconds since 1970 as UTC, for headers alone: what a stored number counts isn't proven."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

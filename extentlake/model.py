@@ -51,3 +51,34 @@ KEYS: dict[str, list[str]] = {
 POINTER_STATUS = ("RESOLVED", "NULL", "UNRESOLVED")
 NODE_TYPES = ("leaf", "mapping", "sequence")
 CODECS = ("raw", "zlib")
+
+#: Kinds of failure: what is wrong with data is a status, what is wrong with a call an error.
+FAILURES = ("MALFORMED_SOURCE", "UNSUPPORTED_LAYOUT", "RESOURCE_LIMIT", "IO_FAILURE", "INVALID_ARGUMENT", "PROGRAMMING_FAILURE")
+
+
+def failure(error: BaseException) -> str:
+    """The kind of an error: the one that its message begins with, else by its class."""
+    text = str(error)
+    for kind in FAILURES:
+        if text.startswith(kind):
+            return kind
+    if isinstance(error, OSError):
+        return "IO_FAILURE"
+    if isinstance(error, MemoryError):
+        return "RESOURCE_LIMIT"
+    return "INVALID_ARGUMENT" if isinstance(error, (ValueError, TypeError, KeyError)) else "PROGRAMMING_FAILURE"
+
+
+def pin(**what: object) -> str:
+    """A digest of what a resumable run depends on: its source, its settings, and the versions of this code and of Spark."""
+    import hashlib
+    import json
+    from pathlib import Path
+
+    import pyspark
+
+    code = hashlib.sha256()
+    for path in sorted(Path(__file__).parent.rglob("*.py")):
+        if "llm" not in path.parts:
+            code.update(path.read_bytes())
+    return hashlib.sha256(json.dumps({**what, "code": code.hexdigest(), "spark": pyspark.__version__}, sort_keys=True, default=str).encode()).hexdigest()

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binary import bit_field, latin1, le_signed, le_unsigned, signed_bits
+from ..functions.binary import bit_field, float_evidence, latin1, signed_bits
 
 #: What a type may cost before its records are left undecoded.
 MAX_LEAVES, MAX_WORK = 100_000, 1_000_000
@@ -17,34 +17,39 @@ MAX_LEAVES, MAX_WORK = 100_000, 1_000_000
 def decoded(elements: DataFrame, slots: DataFrame) -> DataFrame:
     """A row for each declared field of each element: elements (id, element, type_name, data), slots (type_name, path, offset, kind, size, bit_offset, bit_width).
 
-    Kinds int, uint, bool, bits, sbits, char, f32, f64, pointer and filler; others, and fields beyond the bytes, keep their bytes and a status.
+    Kinds int, uint, bool, bits, sbits, char, f32, f64, pointer and filler, of 1 to 8 bytes; value holds integers, number what a float is, with
+    its shortest decimal in text.  Unsigned values of 8 bytes over 2^63 are in `big`.  Other kinds, and fields beyond the bytes, keep their bytes and a status.
     """
     j = elements.join(slots, "type_name")
     raw = F.col("data").substr((F.col("offset") + 1).cast("int"), F.col("size").cast("int"))
     j = j.withColumn("raw", raw).withColumn("whole", F.octet_length("raw") == F.col("size"))
-    unsigned = F.lit(None).cast("long")
-    signed = F.lit(None).cast("long")
-    for n in (1, 2, 3, 4, 5, 6, 7):
-        unsigned = F.when(F.col("size") == n, le_unsigned(F.col("raw"), 0, n)).otherwise(unsigned)
-        signed = F.when(F.col("size") == n, le_signed(F.col("raw"), 0, n)).otherwise(signed)
+    kind, size = F.col("kind"), F.col("size")
+    # bytes in reverse are the number's digits, so one conversion does for every size
+    digits = F.concat(*(F.when(size >= n, F.substring(F.hex("raw"), 2 * n - 1, 2)).otherwise("") for n in range(8, 0, -1)))
+    big = F.conv(digits, 16, 10).cast("decimal(20,0)")
+    top = F.coalesce(*(F.when(size == n, F.lit(str(1 << 8 * n))) for n in range(1, 9))).cast("decimal(20,0)")
+    signed = F.when(big * 2 >= top, big - top).otherwise(big).cast("long")
+    unsigned = F.when(big <= (1 << 63) - 1, big.cast("long"))
     bits = bit_field(unsigned, F.coalesce("bit_offset", F.lit(0)), F.coalesce("bit_width", F.lit(1)))
-    kind = F.col("kind")
+    whole_number = kind.isin("int", "uint", "bool", "bits", "sbits", "pointer") & size.between(1, 8)
     value = (
-        F.when(~F.col("whole"), None)
+        F.when(~F.col("whole") | ~whole_number, None)
         .when(kind == "int", signed)
         .when(kind.isin("uint", "bool", "pointer"), unsigned)
         .when(kind == "bits", bits)
         .when(kind == "sbits", signed_bits(bits, F.coalesce("bit_width", F.lit(1))))
     )
+    real = (kind == "f32") & (size == 4) | (kind == "f64") & (size == 8)
     status = (
         F.when(~F.coalesce("whole", F.lit(False)), "BEYOND_STORAGE")
-        .when(kind.isin("int", "uint", "bool", "bits", "sbits", "pointer") & (F.col("size") < 8), "DECODED")
-        .when(kind.isin("f32", "f64", "char"), "DECODED")
+        .when(whole_number | real | (kind == "char"), "DECODED")
         .when(kind == "filler", "UNINTERPRETED_FILLER")
         .otherwise("UNSUPPORTED_KIND")
     )
-    text = F.when(kind == "char", latin1(F.col("raw")))
-    return j.select("id", "element", "type_name", "path", "kind", value.alias("value"), text.alias("text"), F.lower(F.hex("raw")).alias("raw_hex"), status.alias("status"))
+    j = j.withColumns({"status": status, "value": value, "big": F.when(F.col("whole") & kind.isin("uint", "pointer") & whole_number, big)})
+    j = j.withColumn("float", float_evidence(F.when(real & F.col("whole"), F.col("raw"))))
+    text = F.when(F.col("status") != "DECODED", None).when(kind == "char", latin1(F.col("raw"))).otherwise(F.col("float.text"))
+    return j.select("id", "element", "type_name", "path", "kind", "value", "big", F.col("float.value").alias("number"), text.alias("text"), F.lower(F.hex("raw")).alias("raw_hex"), "status")
 
 
 def declared_bindings(edge: DataFrame, slots: DataFrame) -> DataFrame:
@@ -85,10 +90,13 @@ def expansion_cost(slots: DataFrame) -> DataFrame:
     return g.withColumn("admitted", (F.col("leaves") <= MAX_LEAVES) & (F.col("work") <= MAX_WORK))
 
 
-def overlay(stretches: DataFrame, regions: DataFrame) -> DataFrame:
-    """Parts of stretches (id, f, l) under each region (name, first, last) of a small table of regions."""
-    met = stretches.join(F.broadcast(regions), (F.col("first") < F.col("l")) & (F.col("f") < F.col("last")))
-    return met.select("id", "name", F.greatest("first", "f").alias("first"), F.least("last", "l").alias("last"))
+def overlay(stretches: DataFrame, regions: DataFrame, page: int = 1 << 10) -> DataFrame:
+    """Parts of stretches (id, f, l) under each region (name, first, last)."""
+    from .intervals import overlapping
+
+    s = stretches.withColumn("_size", F.col("l") - F.col("f"))
+    met = overlapping(s, regions.withColumn("_size", F.col("last") - F.col("first")), "inner", "f", "_size", "first", "_size", (), page)
+    return met.select("id", F.col("_r_name").alias("name"), F.greatest("_r_first", "f").alias("first"), F.least("_r_last", "l").alias("last"))
 
 
 def compatible(links: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import closure
 from .intervals import containing, gaps
+from .links import payload
 
 
 def classified(objects: DataFrame) -> DataFrame:
@@ -64,3 +68,73 @@ def unambiguous(rows: DataFrame, name: str) -> DataFrame:
     """Rows whose name no other row has: a dictionary leaves out what it can't tell apart."""
     single = rows.groupBy(name).agg(F.count("*").alias("_n")).where("_n = 1").select(name)
     return rows.join(single, name, "left_semi")
+
+
+def census_rank(types: DataFrame) -> DataFrame:
+    """Adds rank, by which a discovery pages: entities, types with text, classes, others."""
+    return types.withColumn("rank", F.when(F.col("entity"), 0).when(F.col("text"), 1).when(F.col("class_"), 2).otherwise(3))
+
+
+def page(objects: DataFrame, cursor: tuple | None, limit: int) -> DataFrame:
+    """The next objects (.., rank, type_name, id, element) strictly after a cursor of these four, in their order."""
+    from .paging import after
+
+    return after(objects, ["rank", "type_name", "id", "element"], cursor, limit)
+
+
+def selected(requests: DataFrame, alloc: DataFrame, database: str) -> DataFrame:
+    """(segment, cluster, offset, id, times, status) of each distinct requested address (database, segment, cluster, offset): an
+    allocation's exact start, or why it is none."""
+    r = requests.groupBy("database", "segment", "cluster", "offset").agg(F.count("*").alias("times"))
+    a = alloc.select("segment", "cluster", F.col("logical_offset").alias("offset"), "id")
+    met = r.join(a, ["segment", "cluster", "offset"], "left")
+    status = F.when(~F.col("database").eqNullSafe(F.lit(database)), "EXTERNAL_DATABASE").when(F.col("id").isNull(), "NO_ALLOCATION_STARTS_HERE").otherwise("SELECTED")
+    return met.select("database", "segment", "cluster", "offset", F.when(status == "SELECTED", F.col("id")).alias("id"), "times", status.alias("status"))
+
+
+def owners(entities: DataFrame, children: DataFrame, geometries: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(geometry, owner, distance): every entity (id, shape) from whose shape a geometry is reached over children (parent, child); a
+    geometry may have several owners, and one without has a NULL owner.  Cycles end."""
+    reach = closure(children, "parent", "child", cut)
+    own = entities.where("shape IS NOT NULL").join(reach, F.col("shape") == F.col("node"), "left")
+    own = own.select(F.coalesce("ancestor", "shape").alias("geometry"), F.col("id").alias("owner"), F.coalesce("distance", F.lit(0)).cast("long").alias("distance"))
+    own = own.groupBy("geometry", "owner").agg(F.min("distance").alias("distance"))
+    return geometries.select("geometry").distinct().join(own, "geometry", "left")
+
+
+def attributes(entities: DataFrame, values: DataFrame) -> DataFrame:
+    """(id, n, attributes): the named values (id, name, value) of each entity as a map; a name that comes twice is left out and counted."""
+    g = values.groupBy("id", "name").agg(F.count("*").alias("n"), F.min("value").alias("value"))
+    m = g.groupBy("id").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 1).alias("ambiguous"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("n") == 1, F.struct("name", "value"))))).alias("attributes"))
+    return entities.select("id").join(m, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("ambiguous", F.lit(0)).cast("long").alias("ambiguous"), "attributes")
+
+
+def admitted_roots(roots: DataFrame, alloc: DataFrame) -> DataFrame:
+    """Roots (name, segment, cluster, offset) with the node that holds their value and whether it begins there."""
+    held = containing(roots, alloc.select("segment", "cluster", F.col("id").alias("node"), F.col("logical_offset").alias("start"), "size"), "offset", "start", "size")
+    admission = F.when(F.col("node").isNull(), "ROOT_WITHOUT_ALLOCATION").when(F.col("offset") != F.col("start"), "ROOT_INSIDE_ALLOCATION").otherwise("ADMITTED")
+    return held.withColumn("admission", admission).drop("start", "size")
+
+
+def root_walk(roots: DataFrame, alloc: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, depth, status) of what admitted roots reach over links (source, target, storage): roots together, each node at its least depth."""
+    return payload(links, admitted_roots(roots, alloc).where("admission = 'ADMITTED'").select("node").distinct())
+
+
+def accounting(checks: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
+    """(check_name, left, right, equal): totals that must agree, each side a frame of one number."""
+    out = None
+    for name, left, right in checks:
+        a, b = left.toDF("left"), right.toDF("right")
+        row = a.join(b, F.lit(True)).select(F.lit(name).alias("check_name"), F.col("left").cast("long"), F.col("right").cast("long"), F.col("left").eqNullSafe(F.col("right")).alias("equal"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def file_information(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows) of an archive's tables."""
+    out = None
+    for name, df in sorted(tables.items()):
+        row = df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sqlite3
 from collections.abc import Iterator
+from contextlib import closing
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ class CapturedReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         """Cuts at every so many keys; each task seeks its first key in the table's own order."""
         order, cuts = ", ".join(self.keys), []
-        with _opened(self.path) as con:
+        with closing(_opened(self.path)) as con:
             if con.execute("SELECT count(*) FROM sqlite_master WHERE name = ?", (self.name,)).fetchone()[0] == 0:
                 return []
             low: tuple | None = None
@@ -55,7 +56,7 @@ class CapturedReader(DataSourceReader):
             return
         order, marks = ", ".join(self.keys), ", ".join("?" * len(self.keys))
         where = [f"({order}) >= ({marks})"] * (partition.low is not None) + [f"({order}) < ({marks})"] * (partition.high is not None)
-        with _opened(self.path) as con:
+        with closing(_opened(self.path)) as con:
             have = {r[1] for r in con.execute(f"PRAGMA table_info({self.name})")}
             columns = ", ".join(f.name if f.name in have else "NULL" for f in self.schema)
             sql = f"SELECT {columns} FROM {self.name} {'WHERE ' + ' AND '.join(where) if where else ''} ORDER BY {order}"

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def tumbling(events: DataFrame, size: str, keys: list[str], late: str | None = None) -> DataFrame:
-    """Counts by window; a stream needs `late`, the delay after which its state goes."""
+    """Counts by window; a stream needs `late`, the delay after which its state goes.  Users are exact in a batch and approximate in a
+    stream, where distinct ones would be kept whole."""
     streams = events.isStreaming
     events = events.withWatermark("ts", late) if late else events
     users = F.approx_count_distinct("user_id") if streams else F.count_distinct("user_id")
