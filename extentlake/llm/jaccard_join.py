@@ -344,8 +344,8 @@ def _linked(links: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in range(3)], ["a", "b", "n"])
 
 
-def _keyed(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumn("key", F.xxhash64(*columns))
+def _keyed(df: DataFrame, *columns: str, times: int = 0) -> DataFrame:
+    return df.withColumn("key", F.xxhash64(F.lit(times), *columns))
 
 
 def tiles(homes: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
@@ -369,9 +369,10 @@ def tiles(homes: DataFrame, visits: DataFrame, percent: int) -> DataFrame:
     target = groups.selectExpr("home", "size AS of", "pieces AS blocks")
     sides = asked(groups, comers, ["pieces"]).join(target, ["home", "of"]).select("home", F.col("of").alias("size"), "kind", "by", F.col("pieces").alias("n_by"))
     tile = F.expr("xxhash64(home, of, kind, by, block, piece)")
-    ask = asked(own, guests, ["piece", "cid"]).join(target, ["home", "of"])
+    ask = _keyed(asked(own, guests, ["piece", "cid"]), "home", "of", times=2).join(_keyed(target, "home", "of", times=2), ["key", "home", "of"])
     ask = ask.where("kind != 0 OR piece > 0").withColumn("block", F.explode(F.expr("sequence(0L, IF(kind = 0, piece, blocks) - 1)")))
-    held = own.select("home", "size", "cid", F.col("piece").alias("block")).join(sides, ["home", "size"]).withColumnRenamed("size", "of")
+    held = own.select("home", "size", "cid", F.col("piece").alias("block"))
+    held = _keyed(held, "home", "size", times=1).join(_keyed(sides, "home", "size", times=1), ["key", "home", "size"]).withColumnRenamed("size", "of")
     held = held.withColumn("piece", F.explode(F.expr("sequence(IF(kind = 0, block, 0L), n_by - 1)")))
     role = F.when(F.expr("kind = 0 AND block = piece"), WITHIN).otherwise(INDEXED)
     return held.select(tile.alias("tile"), role.alias("role"), "cid").union(ask.select(tile.alias("tile"), F.lit(ASKING).alias("role"), "cid"))
