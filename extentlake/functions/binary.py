@@ -187,11 +187,20 @@ def packed_blob(raw: bytes, level: int = 6) -> tuple[str, bytes, str]:
     return ("zlib", small, hashlib.sha256(raw).hexdigest()) if len(small) < len(raw) else ("raw", raw, hashlib.sha256(raw).hexdigest())
 
 
+@pandas_udf(T.StructType([T.StructField("codec", T.StringType()), T.StructField("data", T.BinaryType()), T.StructField("sha256", T.StringType())]))
+def packed_blobs(raw: pd.Series) -> pd.DataFrame:
+    """packed_blob of each value; NULL in every part for NULL."""
+    return pd.DataFrame([(None, None, None) if x is None else packed_blob(bytes(x)) for x in raw], columns=["codec", "data", "sha256"])
+
+
 @pandas_udf(T.StructType([T.StructField("data", T.BinaryType()), T.StructField("status", T.StringType())]))
 def unpacked_blob(codec: pd.Series, data: pd.Series, raw_length: pd.Series, sha256: pd.Series) -> pd.DataFrame:
-    """The bytes of blobs, inflated to at most their stated length and checked against length and digest."""
+    """The bytes of blobs, inflated to at most their stated length and checked against length and digest; MALFORMED_BLOB where a part is NULL."""
     rows = []
     for c, d, n, s in zip(codec, data, raw_length, sha256, strict=True):
+        if d is None or pd.isna(n):
+            rows.append((None, "MALFORMED_BLOB"))
+            continue
         try:
             if c == "zlib":
                 z = zlib.decompressobj()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 QUERIES, SQL = {}, {}
-for _name in ("relational", "ranges", "structure", "decoding", "streams", "reports", "catalogue", "evidence"):
+for _name in ("relational", "ranges", "structure", "decoding", "streams", "reports", "catalogue", "evidence", "texts"):
     _module = import_module(f"extentlake.plans.{_name}")
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
