@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NESTED = ("base", "class", "union")
 MAX_DEPTH = 64
+#: Elements of a slot that are rows of their own where places are looked up.
+MANY = 1 << 12
 
 
 def resolved_types(types: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -88,24 +90,43 @@ def pointers(slot: DataFrame) -> DataFrame:
     return slot.where(F.col("kind").isin("pointer", "soft_pointer", "hard_pointer"))
 
 
-def _within(rest: Column, arrays: Column) -> Column:
-    """STRUCT(rest, indices, inside): a displacement less a slot's offset, taken apart by its arrays from the outside in."""
-    start = F.struct(rest.alias("rest"), F.array().cast("array<bigint>").alias("indices"), F.lit(True).alias("inside"))
+def _elements(slot: DataFrame) -> DataFrame:
+    """Slots (.., offset, arrays) with a row for each element: where it begins (spot) and its indices, from the outside in.
+
+    A slot of over MANY elements has rows for those of its other arrays alone: the longest with a stride stays a progression of n elements
+    from spot on, step apart, in place `long` of the indices.  Elsewhere these three are NULL.
+    """
+    total = F.aggregate("arrays", F.lit(1.0), lambda a, x: a * x["count"])
+    longest = F.array_max(F.transform("arrays", lambda x, i: F.when(x["stride"] != 0, F.struct(x["count"].alias("n"), i.alias("long"), x["stride"].alias("step")))))
+    s = slot.where(~F.exists("arrays", lambda x: x["count"] < 1)).withColumn("_l", F.when(total > MANY, longest))
+    kept = lambda i: F.col("_l.long").eqNullSafe(i)
+    dims = F.reverse(F.transform("arrays", lambda x, i: F.struct(F.when(kept(i), F.lit(1).cast("long")).otherwise(x["count"]).alias("n"), F.coalesce(x["stride"], F.lit(0)).alias("step"))))
+    s = s.withColumn("_dims", dims).withColumn("_n", F.aggregate("_dims", F.lit(1).cast("long"), lambda a, x: a * x["n"]))
+    s = s.withColumn("_k", F.explode(F.expr(f"sequence(0L, _n - 1, {MANY}L)"))).withColumn("_k", F.explode(F.expr(f"sequence(_k, least(_k + {MANY}L, _n) - 1)")))
+    start = F.struct(F.col("_k").alias("rest"), F.col("offset").alias("spot"), F.array().cast("array<bigint>").alias("indices"))
     step = lambda a, x: F.struct(
-        F.pmod(a["rest"], x["stride"]).alias("rest"),
-        F.concat(a["indices"], F.array(F.floor(a["rest"] / x["stride"]).cast("long"))).alias("indices"),
-        (a["inside"] & (F.floor(a["rest"] / x["stride"]) < x["count"])).alias("inside"),
+        F.floor(a["rest"] / x["n"]).cast("long").alias("rest"),
+        (a["spot"] + a["rest"] % x["n"] * x["step"]).alias("spot"),
+        F.concat(F.array(a["rest"] % x["n"]), a["indices"]).alias("indices"),
     )
-    return F.aggregate(arrays, start, step)
+    return s.withColumn("_e", F.aggregate("_dims", start, step)).select(*slot.columns, "_e.spot", "_e.indices", "_l.n", "_l.long", "_l.step")
 
 
 def at_displacement(places: DataFrame, slot: DataFrame) -> DataFrame:
-    """Places (.., type_name, displacement) with the slots that begin there: path and indices of the arrays on the way; NULL where none does."""
-    s = slot.select("type_name", "path", F.col("offset").alias("s_offset"), F.col("size").alias("s_size"), "arrays", "conditional_union")
-    places = places.withColumn("_row", F.struct(*places.columns))
-    met = places.join(s, "type_name").withColumn("w", _within(F.col("displacement") - F.col("s_offset"), F.col("arrays"))).where("displacement >= s_offset AND w.rest = 0 AND w.inside")
-    found = met.select("_row", "path", F.col("w.indices").alias("indices"), F.col("s_size").alias("slot_size"), "conditional_union")
-    return places.select("_row").join(found, "_row", "left").select("_row.*", "path", "indices", "slot_size", "conditional_union")
+    """Places (.., type_name, displacement) with the slots that begin there: path and indices of the arrays on the way; NULL where none does.
+
+    An equi-join on where elements begin; of long arrays, on the stride and what is left of a displacement by it.
+    """
+    out = ["path", "indices", "slot_size", "conditional_union"]
+    e = _elements(slot.select("type_name", "path", F.col("size").alias("slot_size"), "conditional_union", "offset", "arrays"))
+    found = e.where("long IS NULL").select(F.col("type_name").alias("_type"), F.col("spot").alias("_at"), *out)
+    long_ = e.where("long IS NOT NULL").withColumn("_left", F.expr("pmod(spot, abs(step))"))
+    steps = long_.select("type_name", "step").distinct()
+    asked = places.select("type_name", F.col("displacement").cast("long").alias("_at")).distinct().join(steps, "type_name").withColumn("_left", F.expr("pmod(_at, abs(step))"))
+    met = asked.join(long_, ["type_name", "step", "_left"]).withColumn("_i", F.expr("(_at - spot) div step")).where("_i >= 0 AND _i < n AND _at = spot + _i * step")
+    met = met.withColumn("indices", F.transform("indices", lambda v, i: F.when(i == F.col("long"), F.col("_i")).otherwise(v)))
+    found = found.unionByName(met.select(F.col("type_name").alias("_type"), "_at", *out))
+    return places.join(found, (F.col("type_name") == F.col("_type")) & (F.col("displacement") == F.col("_at")), "left").select(*places.columns, *out)
 
 
 def coverage(slot: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -88,6 +88,35 @@ def test_layouts_with_unknown_classes_and_endless_ones(spark, monkeypatch):
     assert {r.member: (r.pointee, r.status) for r in schema.declared_pointees(members, types, written).collect()} == {"p": ("f", "RESOLVED"), "q": (None, "UNKNOWN_TARGET")}
 
 
+def test_places_in_arrays_of_any_length(spark, monkeypatch):
+    """Arrays within arrays, long ones, without a stride, backwards, overlapping and empty, equal and NULL places; against all elements by loops."""
+    from itertools import product
+
+    arrays = {"plain": [], "a": [(3, 8)], "ab": [(3, 100), (4, 8)], "none": [(2, None)], "zero": [(3, 0)], "back": [(4, -8)], "over": [(3, 4), (2, 8)], "empty": [(0, 8), (2, 4)], "long": [(2, 400), (20, 16), (2, 4)], "longback": [(30, -12), (2, 4)], "longnone": [(20, None)]}
+    slots = [("T", p, 8 + i, 4, a) for i, (p, a) in enumerate(arrays.items())] + [("U", "u", 0, 4, [])]
+    s = spark.createDataFrame([(t, p, o, n, a, False) for t, p, o, n, a in slots], "type_name string, path string, offset long, size long, arrays array<struct<count:bigint,stride:bigint>>, conditional_union boolean")
+    places = [(i, "T", d) for i, d in enumerate(range(-60, 800))] + [(5, "U", 0), (5, "U", 0), (6, "U", 1), (7, None, 0), (8, "T", None), (9, "V", 0)]
+    want = []
+    for i, t, d in places:
+        hits = [(p, list(x)) for u, p, o, _, a in slots for x in product(*(range(n) for n, _ in a)) if u == t and d is not None and o + sum(k * (by or 0) for k, (_, by) in zip(x, a, strict=True)) == d]
+        want += [(i, t, d, *h) for h in hits or [(None, None)]]
+    for many in (1 << 12, 7):
+        monkeypatch.setattr(schema, "MANY", many, raising=False)
+        got = schema.at_displacement(spark.createDataFrame(places, "place long, type_name string, displacement long"), s).collect()
+        assert sorted(map(repr, ((r.place, r.type_name, r.displacement, r.path, r.indices) for r in got))) == sorted(map(repr, want))
+
+
+def test_places_in_endless_arrays_and_large_classes(spark):
+    """A thousand million elements are not laid out, and places meet the slots of their displacement alone."""
+    s = spark.createDataFrame([("T", "x", 4, 4, [(1 << 30, 16), (2, 8)], False)], "type_name string, path string, offset long, size long, arrays array<struct<count:bigint,stride:bigint>>, conditional_union boolean")
+    places = spark.createDataFrame([(16 * 999_999_999 + 12, "T"), (16 * (1 << 30) + 12, "T"), (5, "T")], "displacement long, type_name string")
+    assert {r.displacement: r.indices for r in schema.at_displacement(places, s).collect()} == {15_999_999_996: [999_999_999, 1], 16 * (1 << 30) + 12: None, 5: None}
+    wide = spark.range(1 << 13).selectExpr("'T' AS type_name", "CAST(id AS STRING) AS path", "8 * id AS offset", "8L AS size", "CAST(array() AS ARRAY<STRUCT<count:BIGINT,stride:BIGINT>>) AS arrays", "false AS conditional_union")
+    many = spark.range(1 << 18).selectExpr("'T' AS type_name", "id AS displacement")  # 2^31 pairs of one type
+    got = schema.at_displacement(many, wide).agg(F.count("*").alias("n"), F.count("path").alias("found"), F.count_if(F.expr("8 * CAST(path AS BIGINT) = displacement")).alias("right")).first()
+    assert tuple(got) == (1 << 18, 1 << 13, 1 << 13)
+
+
 def test_ledger_faults_one_by_one(spark):
     alloc = spark.createDataFrame([(i, 10) for i in range(1, 6)], "id long, element_count long")
     rows = [(1, 0, 10), (2, 0, 5), (2, 6, 10), (3, 0, 6), (3, 5, 10), (4, 0, 12), (9, 0, 1)]
