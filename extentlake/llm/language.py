@@ -5,8 +5,9 @@ words are counted once per slice of text and weighted.  Lower orders count conti
 The models of all languages share one sorted array of hashes for each order; under each hash lie the languages that have
 the gram, with its log probability, or the context, with its backoff weight.  A text gets the language of least
 cross-entropy per letter, and a confidence from a logistic regression of "right" on the margin to the second, the text's
-length and the entropy itself, fitted on CALIBRATION rows that the models in use there haven't seen.  Rows below the least confidence
-from which PRECISION of the calibration rows are right are rejected; the final models learn from all labelled rows.
+length and the entropy itself, fitted on all rows set apart for it, which the models in use there haven't seen.  Rows below the least confidence
+from which PRECISION of the rows set apart are right are rejected; the final models learn from all labelled rows.
+The rows set apart stay a table: each step of the fit adds up what its tasks give, and the bound is sought in ranges of the confidence.
 
 The model has every 4-gram of every language, about 12 bytes for each gram and language that has it; the driver and every executor hold it.
 Texts are scored whole.
@@ -27,11 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernel import mix, run_hashes, slices
-from .shared import table, written
+from .shared import partitions, table, written
 
 ORDER = 4
-CALIBRATION = 4000
-#: Share of the calibration rows that must be right among those not rejected.
+#: Share of the rows set apart that must be right among those not rejected.
 PRECISION = 0.99
 #: Counts that a task holds before it sends them on.
 GATHER = 1 << 20
@@ -39,6 +39,8 @@ GATHER = 1 << 20
 KEEP = 4 << 20
 START, END = 2, 3
 UND = "und"
+#: Columns of what the confidence is learned from.
+INPUTS = ("one", "a", "b", "c", "d")
 
 
 @cache
@@ -244,14 +246,34 @@ def features(entropy: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.n
     return best, np.stack([np.ones(len(best)), np.minimum(margin * np.sqrt(symbols), 50), np.minimum(margin, 5), np.log1p(symbols), ordered[:, 0]], 1)
 
 
-def fitted(x: np.ndarray, right: np.ndarray, steps: int = 30, ridge: float = 0.05) -> np.ndarray:
-    """Weights of a logistic regression by Newton's method."""
-    w = np.zeros(x.shape[1])
+def _moments(x: np.ndarray, right: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Second derivatives of the likelihood of a logistic regression, less their sign, and its gradient."""
+    p = confidence(x, weights)
+    return np.concatenate([((x * (p * (1 - p))[:, None]).T @ x).ravel(), x.T @ (right - p)])
+
+
+def fitted(rows: DataFrame, steps: int = 50, ridge: float = 0.05) -> np.ndarray:
+    """Weights of a logistic regression of `right` on INPUTS over all rows, by Newton's method; a step is a pass over the rows."""
+    many = len(INPUTS)
+
+    def summed(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(many * many + many)
+            for batch in batches:
+                x = np.stack([c.to_numpy() for c in batch.columns], 1)
+                out += _moments(x[:, :-1], x[:, -1], w)
+            yield pa.RecordBatch.from_arrays([pa.array([out])], ["sums"])
+
+        return np.sum([r.sums for r in rows.select(*INPUTS, "right").mapInArrow(run, "sums array<double>").collect()], 0)
+
+    w = np.zeros(many)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w += np.linalg.solve(hess, x.T @ (right - p) - ridge * w)
-    return w
+        sums = summed(w)
+        step = np.linalg.solve(sums[: many * many].reshape(many, many) + ridge * np.eye(many), sums[many * many :] - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    return np.round(w, 8)  # less than what the order of the sums does to them
 
 
 def _built(got: pa.Table, langs: list[str], which: np.ndarray, keep: np.ndarray) -> Models:
@@ -276,16 +298,11 @@ def trained(labelled: DataFrame, text: str = "text", lang: str = "lang", apart:
     weights, least = np.array([-2.0, 0.5, 5.0, 0.0, 0.0]), 0.5
     if aside.any():
         models = _built(got, langs, which, ~aside)
-        sample = known.where(F.col("_apart") & F.col(text).isNotNull())
-        spot = F.xxhash64("doc_id")
-        last = sample.select(spot.alias("spot")).orderBy("spot").limit(CALIBRATION).agg(F.max("spot")).first()[0]  # ids alone are sorted
-        sample = sample.where(spot <= F.lit(last)).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-        sample = _scored(sample, models).toPandas()
-        sample = sample[sample.symbols > 0]
-        if len(sample):
-            x, right = np.array(sample[["one", "a", "b", "c", "d"]]), np.array(sample["lang"] == sample["best"], float)
-            weights = fitted(x, right)
-            least = threshold(confidence(x, weights), right)
+        rows = known.where(F.col("_apart") & F.col(text).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+        rows = written(_scored(rows, models).where("symbols > 0").select(*INPUTS, (F.col("lang") == F.col("best")).cast("double").alias("right")))
+        if not rows.isEmpty():
+            weights = fitted(rows)
+            least = _least(rows, weights)
     return _built(got, langs, which, np.ones(got.num_rows, bool)), weights, least
 
 
@@ -293,14 +310,39 @@ def confidence(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
 
 
-def threshold(score: np.ndarray, right: np.ndarray) -> float:
-    """The least score from which on PRECISION of the rows are right; above all scores where that is never so."""
+def threshold(score: np.ndarray, right: np.ndarray, n: np.ndarray | None = None, ahead: tuple[float, float] = (0, 0)) -> float:
+    """The least score from which on PRECISION of the rows are right; above all scores where that is never so.
+
+    n: how many rows stand for each, of which `right` are right; ahead: rows of higher scores elsewhere, and how many of them are right.
+    """
     order = np.argsort(-score, kind="stable")
-    share = np.cumsum(right[order]) / np.arange(1, len(order) + 1)
-    good = np.flatnonzero((share >= PRECISION) & np.append(np.diff(score[order]) != 0, True))
+    share = (ahead[1] + np.cumsum(right[order])) / (ahead[0] + np.cumsum(np.ones(len(score)) if n is None else n[order]))
+    good = np.flatnonzero((share >= PRECISION) & np.append(np.diff(score[order]) != 0, True)) if len(score) else []
     return float(score[order][good[-1]]) if len(good) else 1.0
 
 
+def _least(rows: DataFrame, weights: np.ndarray) -> float:
+    """threshold() of all rows: equal scores are counted together, and each range of scores is sought through by a task that knows the counts above it."""
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([c.to_numpy() for c in batch.columns], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(confidence(x[:, :-1], weights)), pa.array(x[:, -1])], ["score", "right"])
+
+    each = rows.select(*INPUTS, "right").mapInArrow(scores, "score double, right double").groupBy("score").agg(F.sum("right").alias("right"), F.count("*").cast("double").alias("n"))
+    each = written(each.repartitionByRange(partitions(rows.sparkSession), F.desc("score")).withColumn("part", F.spark_partition_id()))
+    ahead, n, right = {}, 0.0, 0.0
+    for r in each.groupBy("part").agg(F.sum("n").alias("n"), F.sum("right").alias("right")).orderBy("part").collect():
+        ahead[r.part] = n, right
+        n, right = n + r.n, right + r.right
+
+    def sought(part: pa.Table) -> pa.Table:
+        score, right, n = (part.column(c).to_numpy() for c in ("score", "right", "n"))
+        return pa.table({"least": [threshold(score, right, n, ahead[part.column("part")[0].as_py()])]})
+
+    return each.groupBy("part").applyInArrow(sought, "least double").agg(F.min("least")).first()[0]
+
+
 def _scored(rows: DataFrame, models: Models) -> DataFrame:
     """(lang, best, symbols, inputs of the calibration) of rows (text, lang)."""
     sent = rows.sparkSession.sparkContext.broadcast(models)
@@ -310,7 +352,7 @@ def _scored(rows: DataFrame, models: Models) -> DataFrame:
             for first, end, text, at in slices(batch.column(0)):
                 entropy, symbols = sent.value.entropies(text, at)
                 best, x = features(entropy, symbols)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, end - first), pa.array([sent.value.langs[b] for b in best]), pa.array(symbols), *(pa.array(x[:, i]) for i in range(5))], ["lang", "best", "symbols", "one", "a", "b", "c", "d"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, end - first), pa.array([sent.value.langs[b] for b in best]), pa.array(symbols), *(pa.array(x[:, i]) for i in range(5))], ["lang", "best", "symbols", *INPUTS])
 
     return rows.mapInArrow(run, "lang string, best string, symbols double, one double, a double, b double, c double, d double")
 

@@ -319,6 +319,29 @@ def test_rejection_keeps_the_precision_it_names():
     assert language.threshold(score, np.ones(5000)) == score.min()
 
 
+def test_confidence_is_learned_from_all_rows_set_apart(spark, monkeypatch):
+    """The weights and the bound are those of all rows set apart, in any number, whatever bound the module once had."""
+    monkeypatch.setattr(language, "CALIBRATION", 40, raising=False)
+    rnd = random.Random(9)
+    word = {"a": lambda: "".join(rnd.choices("abcde", k=rnd.randint(1, 4))), "b": lambda: "".join(rnd.choices("bcdef", k=rnd.randint(1, 4)))}
+    rows = [(i, " ".join(word[x]() for _ in range(rnd.randint(1, 6))), x) for i, x in enumerate(rnd.choices("ab", k=900))] + [(1000, None, "a"), (1001, "...", "b"), (1002, "abc", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = F.col("doc_id") < 200
+    _, weights, least = language.trained(docs, apart=~seen)
+    models, _, _ = language.trained(docs.where(seen))
+    known = [(t.encode(), x) for i, t, x in rows if i >= 200 and t and x and t != "..."]
+    at = np.cumsum([0, *(len(t) for t, _ in known)])
+    best, x = language.features(*models.entropies(np.frombuffer(b"".join(t for t, _ in known), np.uint8), at))
+    right = np.array([models.langs[k] == y for k, (_, y) in zip(best, known, strict=True)], float)
+    w = np.zeros(5)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(5), x.T @ (right - p) - 0.05 * w)
+    assert len(known) == 700 and 50 < right.sum() < 690 and np.abs(weights - w).max() < 1e-5
+    score = language.confidence(x, weights)
+    assert abs(least - language.threshold(score, right)) < 1e-9 and score.min() < least < score.max()
+
+
 def test_language_probabilities_add_up():
     rnd = np.random.default_rng(2)
     text = np.frombuffer(" ".join("".join(rnd.choice(list("abcd"), rnd.integers(1, 6))) for _ in range(400)).encode(), np.uint8)
